@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hdulake.llm._common import checkpointed, read
+from hdulake.llm._common import checkpointed, numbered, read
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -38,8 +38,8 @@ BLOCK = 4096
 KEEP = 12
 EPSILON = 1e-9
 
-_UNITS = pa.schema([("source", pa.string()), ("unit", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int64()), ("chance", pa.float64()), ("block", pa.int64())])
-_UNITS_DDL = "source string, unit long, doc_id long, text_hash long, size long, chance double, block long"
+_UNITS = pa.schema([("rid", pa.int64()), ("source", pa.string()), ("unit", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int64()), ("chance", pa.float64()), ("block", pa.int64())])
+_UNITS_DDL = "rid long, source string, unit long, doc_id long, text_hash long, size long, chance double, block long"
 
 
 def words_in(text: Column) -> Column:
@@ -123,9 +123,9 @@ def fly(last: bool) -> Callable[[pa.Table], pa.Table]:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 9, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, text_hash, size, source_size, target, copies (times the mix takes the document)."""
+    """rid, doc_id, source, text_hash, size, source_size, target, copies (times the mix takes the document)."""
     spark = docs.sparkSession
-    units = docs.select(docs["source"].cast("string").alias("source"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), words_in(docs["text"]).alias("size"))
+    units = numbered(docs).select("rid", docs["source"].cast("string").alias("source"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), words_in(docs["text"]).alias("size"))
     units = checkpointed(units)  # counted once; a few numbers a row
     # one row a source; Python orders strings by code point, as is asked for
     found = sorted(units.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
@@ -153,7 +153,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     picked = done[0]
     for more in done[1:]:
         picked = picked.unionAll(more)
-    columns = ("source", "doc_id", "text_hash", "size", "source_size", "target")
+    columns = ("rid", "source", "doc_id", "text_hash", "size", "source_size", "target")
     copies = picked.join(table, picked["source"].eqNullSafe(F.col("p_source"))).select(*columns, (F.floor("ratio") + F.col("chance")).cast("long").alias("copies"))
     certain = units.filter(~((F.col("chance") > EPSILON) & (F.col("chance") < 1 - EPSILON) & (F.col("size") > 0)))
     return copies.unionAll(certain.select(*columns, F.when(F.col("size") > 0, F.round("ratio")).otherwise(0).cast("long").alias("copies")))

@@ -39,6 +39,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hdulake.llm._common import checkpointed, mix, numbered, read, shuffle_partitions, slices
 
@@ -120,7 +121,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in slices(batches):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array([press.compress(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([anchor_records(t).tobytes() for t in texts], pa.binary())], names=["rid", "doc_id", "packed", "n_bytes", "anchors"])
+        yield pa.RecordBatch.from_arrays([batch["rid"], batch["carried"], pa.array([press.compress(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([anchor_records(t).tobytes() for t in texts], pa.binary())], names=["rid", "carried", "packed", "n_bytes", "anchors"])
 
 
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,29 +163,41 @@ def spans_of(records: np.ndarray, whole: list[int], starts: list[int]) -> np.nda
     return np.stack([a[begin], b[np.concatenate((begin[1:], [len(a)])) - 1]], axis=1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    expand = zstandard.ZstdDecompressor()
-    for batch in slices(batches, 128):
-        rows: list[tuple] = []
-        for packed, n, records, whole, starts in zip(*(batch[c].to_pylist() for c in ("packed", "n_bytes", "anchors", "whole", "starts")), strict=True):
-            text = expand.decompress(packed)
-            spans = spans_of(np.frombuffer(records, dtype=ANCHOR), whole or [], starts or [])
-            at, kept = 0, []
-            for a, b in spans.tolist():
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            rows.append((n, int((spans[:, 1] - spans[:, 0]).sum()), spans.tolist(), b"".join(kept)))
-        n, gone, spans, kept = zip(*rows, strict=True) if rows else ((),) * 4
-        yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=["rid", "doc_id", "n_bytes", "n_removed", "spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_bytes, n_removed, spans (from, to in bytes) and the kept bytes of each row of ``docs``."""
+def _cut(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in slices(batches, 128):
+            rows: list[tuple] = []
+            for packed, n, records, whole, starts in zip(*(batch[c].to_pylist() for c in ("packed", "n_bytes", "anchors", "whole", "starts")), strict=True):
+                text = expand.decompress(packed)
+                spans = spans_of(np.frombuffer(records, dtype=ANCHOR), whole or [], starts or [])
+                at, kept = 0, []
+                for a, b in spans.tolist():
+                    kept.append(text[at:a])
+                    at = b
+                kept.append(text[at:])
+                left = b"".join(kept)
+                rows.append((n, int((spans[:, 1] - spans[:, 0]).sum()), spans.tolist(), left.decode("utf-8", "ignore") if as_text else left))
+            n, gone, spans, kept = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch["carried"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string() if as_text else pa.binary())], names=["carried", "n_bytes", "n_removed", "spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+    """The columns ``carry`` of each row of ``docs``, n_bytes, n_removed, spans (from, to in bytes) and the kept bytes.
+
+    With ``as_text`` what is kept is a string; a span's border may lie within a character, and what is
+    left of such a character goes too.
+    """
     spark = docs.sparkSession
-    base = numbered(docs).select("rid", docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    base = numbered(docs.select(F.struct(*(docs[c] for c in carry)).alias("carried"), docs["text"].cast("string").alias("text")))
+    carried = base.schema["carried"].dataType
+    field, long = T.StructField, T.LongType()
+    store = T.StructType([field("rid", long), field("carried", carried), field("packed", T.BinaryType()), field("n_bytes", long), field("anchors", T.BinaryType())])
+    cut = T.StructType([field("carried", carried), field("n_bytes", long), field("n_removed", long), field("spans", T.ArrayType(T.ArrayType(long))), field("kept", T.StringType() if as_text else T.BinaryType())])
     parts = shuffle_partitions(spark)
-    stored = checkpointed(base.mapInArrow(_store, "rid long, doc_id long, packed binary, n_bytes long, anchors binary").repartition(parts, "rid"))
+    stored = checkpointed(base.select("rid", "carried", "text").mapInArrow(_store, store).repartition(parts, "rid"))
     listed = stored.select("rid", "anchors").mapInArrow(_list_anchors, "rank long, cover long, rid long, number int")
     # rounds 1 and 2: the classes of equal pairs, then the ranks that aren't unique
     classes = listed.groupBy("rank", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "number")).alias("one"))
@@ -203,7 +216,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by_whole = whole.groupBy(F.col("rid").alias("wr")).agg(F.collect_list("number").alias("whole"))
     by_start = single.groupBy(F.col("rid").alias("sr")).agg(F.collect_list("start").alias("starts"))
     marked = stored.join(by_whole, F.col("rid") == F.col("wr"), "left").join(by_start, F.col("rid") == F.col("sr"), "left")
-    return marked.select("rid", "doc_id", "packed", "n_bytes", "anchors", "whole", "starts").mapInArrow(_cut, "rid long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    done = marked.select("carried", "packed", "n_bytes", "anchors", "whole", "starts").mapInArrow(_cut(as_text), cut)
+    return done.select("carried.*", "n_bytes", "n_removed", "spans", "kept")
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
