@@ -12,13 +12,15 @@ without loss:
 * Round 1 ranks anchors by the first 200 bytes after them. All windows of an anchor hold those, so an
   anchor of unique rank is settled: none of its windows repeats.
 * Round 2 ranks the pairs (rank of those 200 bytes, rank of all that the anchor's windows cover). An
-  anchor whose pair isn't unique has all of its windows repeated: it is past the threshold.
-* Round 3 takes single windows, where an anchor's fate is still open: pairs of the ranks of two
-  256-byte halves (overlapping by 112) at the window's start. One window of each class of round 2
-  stands for the class. A window whose pair isn't unique is repeated.
-
-Ranks are names: equal strings get equal 128-bit (round 1 and 2: 64-bit pairs) hashes, themselves made
-by doubling (16, 32, 64, ... bytes), so that Spark's sort-based grouping on the pairs is the reranking
+  anchor whose pair isn't unique has all of its windows repeated: it is past the threshold. One anchor
+  of each pair goes on, if its rank has one of an unsettled fate.
+* Round 3 does the same with blocks of ``PART`` (8) neighbouring starts: the 393 bytes that all windows of the
+  block share, and all that they cover.
+* Round 4 takes single windows of the blocks that are still open: pairs of the ranks of two 256-byte
+  halves (overlapping by 112). A window whose pair isn't unique is repeated.
+
+Ranks are names: equal strings get equal hashes (two of 64 bits where they decide), those of windows
+made by doubling 16-byte names, so that Spark's sort-based grouping on the pairs is the reranking
 and nothing has to be numbered globally.
 
 Hot passages are grouped with map-side counts; no group is collected. Texts are read once, compressed
@@ -50,8 +52,11 @@ SPAN = 200
 SEGMENT = 1 << 19
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: An anchor, as kept beside its text: rank of its 200 bytes, hash of all that its windows cover, itself, first and last start.
-ANCHOR = np.dtype([("rank", "<i8"), ("cover", "<i8"), ("at", "<i8"), ("first", "<i8"), ("last", "<i8")])
+#: An anchor, as kept beside its text: rank of its 200 bytes, hash of all that its windows cover, itself and its last
+#: start. The first start is the one after the anchor before.
+ANCHOR = np.dtype([("rank", "<i8"), ("cover", "<i8"), ("at", "<i4"), ("last", "<i4")])
+#: Starts in a block of round 3.
+PART = 8
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
@@ -96,7 +101,7 @@ def anchor_records(text: bytes) -> np.ndarray:
     raw = np.frombuffer(text, dtype=np.uint8)
     at, first, last = anchors(raw)
     out = np.empty(len(at), dtype=ANCHOR)
-    out["at"], out["first"], out["last"] = at, first, last
+    out["at"], out["last"] = at, last
     inner, view, name = LENGTH - SPAN, memoryview(text), _name
     out["rank"] = [name(view[a : a + inner]) for a in at.tolist()]
     out["cover"] = [name(view[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
@@ -135,25 +140,57 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["rank"])), pa.array(np.ascontiguousarray(r["cover"])), pa.array(rid), pa.array(number)], names=["rank", "cover", "rid", "number"])
 
 
-def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def firsts_of(records: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], records["last"][:-1] + 1)).astype(np.int64) if len(records) else np.zeros(0, dtype=np.int64)
+
+
+def block_records(text: bytes, at: int, first: int, last: int) -> list[tuple[int, int, int, int]]:
+    """Of each block of an anchor's starts: names of what its windows share and of what they cover, first and last start.
+
+    Blocks are laid out from the anchor, so equal windows lie in equal places of their blocks.
+    """
+    view, out = memoryview(text), []
+    for k in range((at - last) // PART, (at - first) // PART + 1):
+        high = at - PART * k
+        low = high - PART + 1
+        lo, hi = max(low, first), min(high, last)
+        out.append((_name(view[high : low + LENGTH]), _name(view[lo : hi + LENGTH]), lo, hi))
+    return out
+
+
+def _list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     for batch in slices(batches, 64):
-        parts: list[tuple] = []
+        rows: list[tuple] = []
         for rid, packed, records, numbers, alone in zip(*(batch[c].to_pylist() for c in ("rid", "packed", "anchors", "numbers", "alone")), strict=True):
             text, r = expand.decompress(packed), np.frombuffer(records, dtype=ANCHOR)
+            first = firsts_of(r)
             for k, single in zip(numbers, alone, strict=True):
-                first, last = int(r["first"][k]), int(r["last"][k])
-                parts.append((rid, window_names(text, first, last), np.arange(first, last + 1), single))
+                rows += [(*b, rid, single) for b in block_records(text, int(r["at"][k]), int(first[k]), int(r["last"][k]))]
+        if rows:
+            core, cover, lo, hi, rids, single = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(cover, pa.int64()), pa.array(rids, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(single, pa.bool_())], names=["core", "cover", "rid", "first", "last", "alone"])
+
+
+def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    expand = zstandard.ZstdDecompressor()
+    for batch in slices(batches, 64):
+        parts: list[tuple] = []
+        for rid, packed, items in zip(*(batch[c].to_pylist() for c in ("rid", "packed", "items")), strict=True):
+            text = expand.decompress(packed)
+            for item in items:
+                first, last = item["first"], item["last"]
+                parts.append((rid, window_names(text, first, last), np.arange(first, last + 1, dtype=np.int32), item["alone"]))
         if parts:
             sizes = [len(p[2]) for p in parts]
             names = np.concatenate([p[1] for p in parts])
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(np.repeat([p[0] for p in parts], sizes)), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.repeat([p[3] for p in parts], sizes))], names=["w1", "w2", "rid", "start", "alone"])
 
 
-def spans_of(records: np.ndarray, whole: list[int], starts: list[int]) -> np.ndarray:
-    """The maximal removed runs, as rows (from, to), of anchors that are repeated whole and single window starts."""
-    firsts = np.concatenate([records["first"][whole], np.array(starts, dtype=np.int64)])
-    lasts = np.concatenate([records["last"][whole], np.array(starts, dtype=np.int64)])
+def spans_of(records: np.ndarray, whole: list[int], runs: list[dict]) -> np.ndarray:
+    """The maximal removed runs, as rows (from, to), of anchors that are repeated whole and runs of repeated starts."""
+    firsts = np.concatenate([firsts_of(records)[whole], np.array([r["first"] for r in runs], dtype=np.int64)])
+    lasts = np.concatenate([records["last"][whole].astype(np.int64), np.array([r["last"] for r in runs], dtype=np.int64)])
     order = np.argsort(firsts, kind="stable")
     a, b = firsts[order], np.maximum.accumulate(lasts[order] + LENGTH) if len(order) else lasts
     if not len(a):
@@ -168,9 +205,9 @@ def _cut(as_text: bool):
         expand = zstandard.ZstdDecompressor()
         for batch in slices(batches, 128):
             rows: list[tuple] = []
-            for packed, n, records, whole, starts in zip(*(batch[c].to_pylist() for c in ("packed", "n_bytes", "anchors", "whole", "starts")), strict=True):
+            for packed, n, records, whole, runs in zip(*(batch[c].to_pylist() for c in ("packed", "n_bytes", "anchors", "whole", "runs")), strict=True):
                 text = expand.decompress(packed)
-                spans = spans_of(np.frombuffer(records, dtype=ANCHOR), whole or [], starts or [])
+                spans = spans_of(np.frombuffer(records, dtype=ANCHOR), whole or [], runs or [])
                 at, kept = 0, []
                 for a, b in spans.tolist():
                     kept.append(text[at:a])
@@ -199,24 +236,35 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_tex
     parts = shuffle_partitions(spark)
     stored = checkpointed(base.select("rid", "carried", "text").mapInArrow(_store, store).repartition(parts, "rid"))
     listed = stored.select("rid", "anchors").mapInArrow(_list_anchors, "rank long, cover long, rid long, number int")
-    # rounds 1 and 2: the classes of equal pairs, then the ranks that aren't unique
-    classes = listed.groupBy("rank", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "number")).alias("one"))
-    ranks = classes.groupBy(F.col("rank").alias("r")).agg(F.sum("members").alias("total"), F.min("members").alias("fewest")).filter("total > 1")
-    live = checkpointed(classes.join(ranks, F.col("rank") == F.col("r")).select("rank", "cover", "members", "one", "fewest"))
-    past = live.filter("members > 1").select(F.col("rank").alias("r"), F.col("cover").alias("c"))
-    whole = listed.join(past, (F.col("rank") == F.col("r")) & (F.col("cover") == F.col("c"))).select("rid", "number")
-    # round 3: single windows where a class of one member is open; the other classes of its rank take part by one member
-    open_ = live.filter("fewest = 1").select(F.col("one.rid").alias("o"), F.struct(F.col("one.number").alias("number"), (F.col("members") == 1).alias("alone")).alias("item"))
-    asked = open_.groupBy("o").agg(F.collect_list("item").alias("items"))  # at most the anchors of one document
-    windows = stored.join(asked, F.col("rid") == F.col("o")).select("rid", "packed", "anchors", F.col("items.number").alias("numbers"), F.col("items.alone").alias("alone"))
-    windows = checkpointed(windows.mapInArrow(_list_windows, "w1 long, w2 long, rid long, start long, alone boolean"))
+    # round 1: anchors whose rank isn't unique
+    counts = listed.groupBy(F.col("rank").alias("r")).agg(F.count("*").alias("n")).filter("n > 1").select("r")
+    live = checkpointed(listed.join(counts, F.col("rank") == F.col("r")).select("rank", "cover", "rid", "number"))
+    # round 2: pairs; the members of repeated ones are done, and one of each pair goes on where a lone one is left
+    classes = live.groupBy("rank", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "number")).alias("one"))
+    whole = live.join(classes.filter("members > 1").select(F.col("rank").alias("r"), F.col("cover").alias("c")), (F.col("rank") == F.col("r")) & (F.col("cover") == F.col("c"))).select("rid", "number")
+    lone = classes.filter("members = 1").select(F.col("rank").alias("r")).distinct()
+    item = F.struct(F.col("one.number").alias("number"), (F.col("members") == 1).alias("alone"))
+    asked = classes.join(lone, F.col("rank") == F.col("r")).groupBy(F.col("one.rid").alias("o")).agg(F.collect_list(item).alias("items"))  # at most the anchors of one document
+    # round 3: blocks of starts
+    blocks = stored.join(asked, F.col("rid") == F.col("o")).select("rid", "packed", "anchors", F.col("items.number").alias("numbers"), F.col("items.alone").alias("alone"))
+    blocks = checkpointed(blocks.mapInArrow(_list_blocks, "core long, cover long, rid long, first int, last int, alone boolean"))
+    counts = blocks.groupBy(F.col("core").alias("r")).agg(F.count("*").alias("n")).filter("n > 1").select("r")
+    live = checkpointed(blocks.join(counts, F.col("core") == F.col("r")).drop("r"))
+    classes = live.groupBy("core", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "first", "last", "alone")).alias("one"))
+    parts_whole = live.filter("alone").join(classes.filter("members > 1").select(F.col("core").alias("r"), F.col("cover").alias("c")), (F.col("core") == F.col("r")) & (F.col("cover") == F.col("c"))).select("rid", "first", "last")
+    lone = classes.filter("members = 1 and one.alone").select(F.col("core").alias("r")).distinct()
+    item = F.struct("one.first", "one.last", ((F.col("members") == 1) & F.col("one.alone")).alias("alone"))
+    asked = classes.join(lone, F.col("core") == F.col("r")).groupBy(F.col("one.rid").alias("o")).agg(F.collect_list(item).alias("items"))  # at most the blocks of one document
+    # round 4: single windows
+    windows = stored.join(asked, F.col("rid") == F.col("o")).select("rid", "packed", "items")
+    windows = checkpointed(windows.mapInArrow(_list_windows, "w1 long, w2 long, rid long, start int, alone boolean"))
     twice = windows.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.count("*").alias("n")).filter("n > 1")
-    single = windows.filter("alone").join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("rid", "start")
+    single = windows.filter("alone").join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
     # collected by document: at most the anchors and the starts of one
     by_whole = whole.groupBy(F.col("rid").alias("wr")).agg(F.collect_list("number").alias("whole"))
-    by_start = single.groupBy(F.col("rid").alias("sr")).agg(F.collect_list("start").alias("starts"))
-    marked = stored.join(by_whole, F.col("rid") == F.col("wr"), "left").join(by_start, F.col("rid") == F.col("sr"), "left")
-    done = marked.select("carried", "packed", "n_bytes", "anchors", "whole", "starts").mapInArrow(_cut(as_text), cut)
+    by_run = parts_whole.unionAll(single).groupBy(F.col("rid").alias("sr")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    marked = stored.join(by_whole, F.col("rid") == F.col("wr"), "left").join(by_run, F.col("rid") == F.col("sr"), "left")
+    done = marked.select("carried", "packed", "n_bytes", "anchors", "whole", "runs").mapInArrow(_cut(as_text), cut)
     return done.select("carried.*", "n_bytes", "n_removed", "spans", "kept")
 
 
