@@ -21,6 +21,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed_by(df: DataFrame, partitions: int, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` and checkpointed so that later joins on ``key`` needn't shuffle it again.
+
+    Only a plan that isn't adaptive tells how its output is dealt, so adaptive execution is off for this write.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpointed(df.repartition(partitions, key))
+    finally:
+        conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder; its lineage ends there.
 

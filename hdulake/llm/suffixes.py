@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hdulake.llm._common import checkpointed, mix, numbered, read, shuffle_partitions, slices
+from hdulake.llm._common import checkpointed, checkpointed_by, mix, numbered, read, shuffle_partitions, slices
 
 LENGTH = 400
 GRAM = 16
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_tex
     store = T.StructType([field("rid", long), field("carried", carried), field("packed", T.BinaryType()), field("n_bytes", long), field("anchors", T.BinaryType())])
     cut = T.StructType([field("carried", carried), field("n_bytes", long), field("n_removed", long), field("spans", T.ArrayType(T.ArrayType(long))), field("kept", T.StringType() if as_text else T.BinaryType())])
     parts = shuffle_partitions(spark)
-    stored = checkpointed(base.select("rid", "carried", "text").mapInArrow(_store, store).repartition(parts, "rid"))
+    stored = checkpointed_by(base.select("rid", "carried", "text").mapInArrow(_store, store), parts, "rid")
     listed = stored.select("rid", "anchors").mapInArrow(_list_anchors, "rank long, cover long, rid long, number int")
     # round 1: anchors whose rank isn't unique
     counts = listed.groupBy(F.col("rank").alias("r")).agg(F.count("*").alias("n")).filter("n > 1").select("r")
