@@ -8,9 +8,10 @@
 3. Within a band's bucket every member is paired with the bucket's least member, not with every other.
    Signatures that agree too little are let go (``LEAST_AGREEMENT``, over six standard deviations
    below 0.75); the others are confirmed on the full sets.
-4. Components of the confirmed links follow (large-star, small-star). Pairs of one bucket whose ends
-   are now in different components and whose sizes allow 0.75 are all that transitivity leaves open;
-   these are confirmed too, and the components of all links are the result.
+4. Components of the confirmed links follow (large-star, small-star). Members outside a bucket's largest
+   component are then held against ``PIVOTS`` of its members, which joins most of a hot group.
+5. Pairs of one bucket whose ends are still in different components and whose sizes allow 0.75 are all
+   that transitivity leaves open; these are confirmed too, and the components of all links are the result.
 
 The full sets are read again only of documents in candidate pairs. Hot buckets are joins on the band
 key, which adaptive execution splits; minima are aggregated before they are shuffled.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hdulake.llm._common import checkpointed, mix, numbered, read, seeds, slices
@@ -37,6 +38,8 @@ ROWS, BANDS = 4, 32
 N_HASHES = ROWS * BANDS
 LEAST = 75  # per cent
 LEAST_AGREEMENT = 0.5
+#: Members of a bucket's largest component that each member outside is held against.
+PIVOTS = 8
 
 _A, _B = seeds(N_HASHES, 61) | np.uint64(1), seeds(N_HASHES, 67)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -192,15 +195,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = checkpointed(verified(in_buckets.filter("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct()))
     links = checkpointed(linked(pairs))
     final = connected_components(links)
-    # what transitivity leaves open: members of one bucket in different components
-    named = in_buckets.join(final, F.col("sid") == F.col("id"), "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("component"))
-    mixed = named.groupBy(F.col("key").alias("mixed_key")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    open_ = checkpointed(named.join(mixed, F.col("key") == F.col("mixed_key")).select("key", "sid", "n", "component"))
+
+    def still_open(components: DataFrame) -> DataFrame:
+        """key, sid, n, component of the buckets that hold several components."""
+        named = in_buckets.join(components, F.col("sid") == F.col("id"), "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("component"))
+        mixed = named.groupBy(F.col("key").alias("mixed_key")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+        return checkpointed(named.join(mixed, F.col("key") == F.col("mixed_key")).select("key", "sid", "n", "component"))
+
+    def untried(found: DataFrame) -> DataFrame:
+        tried = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("tu"), F.col("v").alias("tv"))
+        return checkpointed(verified(found.distinct().join(tried, (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")))
+
+    sizes = F.expr(f"100 * least(n, n2) >= {LEAST} * greatest(n, n2)")
+    # members outside a bucket's largest component meet PIVOTS members of it: most find a link there
+    open_ = still_open(final)
+    counted = open_.groupBy("key", "component").agg(F.count("*").alias("members"))
+    largest = counted.groupBy(F.col("key").alias("lk")).agg(F.max(F.struct("members", "component")).alias("top")).select("lk", F.col("top.component").alias("main"))
+    sided = open_.join(largest, F.col("key") == F.col("lk")).select("key", "sid", "n", (F.col("component") == F.col("main")).alias("inside"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("sid", "key"), "sid"))
+    pivots = sided.filter("inside").withColumn("place", place).filter(F.col("place") <= PIVOTS).select(F.col("key").alias("k2"), F.col("sid").alias("v"), F.col("n").alias("n2"))
+    more = untried(sided.filter("not inside").join(pivots, (F.col("key") == F.col("k2")) & sizes).select(F.col("sid").alias("u"), "v"))
+    if more.take(1):
+        links, pairs = checkpointed(links.unionAll(linked(more))), pairs.unionAll(more)
+        final = connected_components(links)
+        open_ = still_open(final)
+    # all that is left: pairs of one bucket over different components
     other = open_.select(F.col("key").alias("k2"), F.col("sid").alias("v"), F.col("n").alias("n2"), F.col("component").alias("o2"))
-    across = open_.join(other, (F.col("key") == F.col("k2")) & (F.col("component") < F.col("o2")) & F.expr(f"100 * least(n, n2) >= {LEAST} * greatest(n, n2)"))
-    tried = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("tu"), F.col("v").alias("tv"))
-    more = across.select(F.col("sid").alias("u"), "v").distinct().join(tried, (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")
-    more = checkpointed(verified(more))
+    more = untried(open_.join(other, (F.col("key") == F.col("k2")) & (F.col("component") < F.col("o2")) & sizes).select(F.col("sid").alias("u"), "v"))
     if more.take(1):
         final = connected_components(links.unionAll(checkpointed(linked(more))))
     of_class = classes.join(final, F.col("sid") == F.col("id"), "left").select("c1", "c2", "best", F.coalesce("component", "sid").alias("component"))
