@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Words kept by a worker; beyond it the memory starts afresh. Longer words are not kept.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 700_000
 LONGEST_KEPT = 48
 
 _RUN = re.compile(r" \s")
