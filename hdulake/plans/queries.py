@@ -1,4 +1,185 @@
-"""The engine's own queries over the driver's tables."""
+"""The engine's own queries over the driver's tables, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import math
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hdulake.functions import scaling, time, wcs
+from hdulake.functions.checksum import fold
+from hdulake.sources import readers, writers
+from hdulake.sources.header import Header
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 100 = 7 THEN NULL ELSE 10.0 + 2.5 * (l_partkey % 100) END AS value FROM lineitem")
+def physical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = (F.col("l_partkey") % 100).cast("int")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scaling.physical(raw, 2.5, 10.0, 7, as_null=True).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_partkey % 65536 - 32768) + 32768 AS value FROM lineitem")
+def unsigned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = (F.col("l_partkey") % 65536 - 32768).cast("short")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scaling.unsigned(raw, "short").cast("long").alias("value"))
+
+
+@query("SELECT o_orderstatus, CAST(((sum(o_orderkey * 65537) - 1) % 4294967295) + 1 AS BIGINT) AS checksum, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def folded_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(fold(F.sum(F.col("o_orderkey") * 65537)).alias("checksum"), F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 64 AS x, (l_partkey // 64) % 48 AS y FROM lineitem")
+def pixel_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = F.col("l_partkey")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scaling.axis_of(flat, [64, 48], 0).alias("x"), scaling.axis_of(flat, [64, 48], 1).alias("y"))
+
+
+@query("SELECT o_orderkey, round(epoch_us(o_orderdate) / 86400000000.0 + 40587.0, 6) AS mjd FROM orders")
+def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.round(time.iso_to_mjd(text), 6).alias("mjd"))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d FROM orders")
+def calendar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = time.jd_to_date(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86400000000.0 + 2440587.5)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", day["year"].alias("y"), day["month"].alias("m"), day["day"].alias("d"))
+
+
+_LEAP_SQL = "CASE " + " ".join(f"WHEN mjd >= {d} THEN {s}" for d, s in reversed(time.LEAP_SECONDS)) + f" ELSE {time.LEAP_SECONDS[0][1]} END"
+
+
+@query(f"SELECT o_orderkey, {_LEAP_SQL} AS tai_utc, round(({_LEAP_SQL} + 32.184), 3) AS tt_utc FROM (SELECT o_orderkey, epoch_us(o_orderdate) / 86400000000.0 + 40587.0 AS mjd FROM orders)")
+def time_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mjd = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86400000000.0 + 40587.0
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", mjd.alias("mjd"))
+    leap = time.leap_seconds(F.col("mjd"))
+    return rows.select("o_orderkey", leap.cast("int").alias("tai_utc"), F.round(leap + time.TT_TAI, 3).alias("tt_utc"))
+
+
+@query("SELECT event_id, round((event_id % 1000) / 7.0 - floor((event_id % 1000) / 7.0), 9) AS phase FROM events")
+def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", F.round(time.fold_phase((F.col("event_id") % 1000).cast("double"), 0.0, 7.0), 9).alias("phase"))
+
+
+@query("SELECT n_regionkey AS interval_id, count(*) AS n FROM events JOIN (SELECT n_nationkey, n_regionkey, n_nationkey * 400 AS start, n_nationkey * 400 + 200 AS stop FROM nation) ON event_id >= start AND event_id < stop GROUP BY n_regionkey")
+def good_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events inside good time intervals. Intervals are cut into equal bins, so the join is on the bin: no nested loop."""
+    width = 100
+    nation = _table(spark, sf_dir, "nation").select("n_regionkey", (F.col("n_nationkey") * 400).alias("start"), (F.col("n_nationkey") * 400 + 200).alias("stop"))
+    bins = nation.withColumn("bin", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(stop - 1) div {width}"))))
+    events = _table(spark, sf_dir, "events").select("event_id", F.expr(f"event_id div {width}").alias("event_bin"))
+    inside = events.join(bins, (F.col("event_bin") == F.col("bin")) & (F.col("event_id") >= F.col("start")) & (F.col("event_id") < F.col("stop")))
+    return inside.groupBy(F.col("n_regionkey").alias("interval_id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice + 2.0 * o_custkey AS total FROM orders")
+def named_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("DATE", "UU", "DATE")))
+    values = F.array(F.col("o_totalprice"), F.lit(-1.0), 2.0 * F.col("o_custkey"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", scaling.named_parameter(names, values, "DATE").alias("total"))
+
+
+#: Native longitude and latitude for the projections, from a table's ids.
+_PHI, _THETA = "((l_partkey % 340) - 170.0)", "((l_suppkey % 70) + 10.0)"
+_T, _P, _Z = f"radians({_THETA})", f"radians({_PHI})", f"radians(90.0 - {_THETA})"
+_PLANE = {
+    **{k: (f"degrees(1) * {r} * sin({_P})", f"-degrees(1) * {r} * cos({_P})") for k, r in {"TAN": f"tan({_Z})", "SIN": f"sin({_Z})", "ARC": _Z, "ZEA": f"2 * sin({_Z} / 2)", "STG": f"2 * tan({_Z} / 2)"}.items()},
+    "CAR": (_PHI, _THETA),
+    "CEA": (_PHI, f"degrees(1) * sin({_T})"),
+    "MER": (_PHI, f"degrees(1) * ln(tan(pi() / 4 + {_T} / 2))"),
+    "SFL": (f"{_PHI} * cos({_T})", _THETA),
+    "PAR": (f"{_PHI} * (2 * cos(2 * {_T} / 3) - 1)", f"180 * sin({_T} / 3)"),
+    "AIT": tuple(f"degrees(1) * sqrt(2 / (1 + cos({_T}) * cos({_P} / 2))) * {v}" for v in (f"2 * cos({_T}) * sin({_P} / 2)", f"sin({_T})")),
+    "PCO": (f"degrees(1) / tan({_T}) * sin({_P} * sin({_T}))", f"{_THETA} + degrees(1) / tan({_T}) * (1 - cos({_P} * sin({_T})))"),
+}
+
+
+def _projection(code: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        phi, theta = F.expr(_PHI).cast("double"), F.expr(_THETA).cast("double")
+        x, y = wcs.project(code, phi, theta, [])
+        return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+    run.__name__ = f"project_{code.lower()}"
+    return run
+
+
+for _code, (_x, _y) in _PLANE.items():
+    query(f"SELECT l_orderkey, l_linenumber, round({_x}, 6) AS x, round({_y}, 6) AS y FROM lineitem")(_projection(_code))
+
+
+def _round_trip(code: str, pv: list[float]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        phi, theta = F.expr("((l_partkey % 90) - 45.0)"), F.expr("((l_suppkey % 50) + 20.0)")
+        back = wcs.deproject(code, *wcs.project(code, phi, theta, pv), pv)
+        return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(back[0], 5).alias("phi"), F.round(back[1], 5).alias("theta"))
+
+    run.__name__ = f"round_trip_{code.lower()}"
+    return run
+
+
+_ROUND_TRIPS: dict[str, list[float]] = {
+    "ZPN": [0.0, 1.0, 0.0, -0.05], "AIR": [0.0, 45.0], "AZP": [0.0, 2.0, 20.0], "SZP": [0.0, 2.0, 30.0, 60.0], "COP": [0.0, 45.0, 20.0], "COE": [0.0, 45.0, 20.0],
+    "COD": [0.0, 45.0, 20.0], "COO": [0.0, 45.0, 20.0], "CYP": [0.0, 1.0, 0.7], "MOL": [], "BON": [0.0, 45.0],
+}
+for _code, _pv in _ROUND_TRIPS.items():
+    query("SELECT l_orderkey, l_linenumber, CAST((l_partkey % 90) - 45.0 AS DOUBLE) AS phi, CAST((l_suppkey % 50) + 20.0 AS DOUBLE) AS theta FROM lineitem")(_round_trip(_code, _pv))
+
+
+def tan_header() -> Header:
+    h = Header()
+    for i, (kind, crval, cdelt) in enumerate((("RA---TAN", 150.0, -0.01), ("DEC--TAN", 2.5, 0.01)), 1):
+        h.set(f"CTYPE{i}", kind).set(f"CRPIX{i}", 256.0).set(f"CRVAL{i}", crval).set(f"CDELT{i}", cdelt)
+    return h.set("NAXIS", 2)
+
+
+_U, _V = "radians(-0.01 * (l_partkey % 512 - 256.0))", "radians(0.01 * (l_suppkey % 512 - 256.0))"
+_D0 = math.radians(2.5)
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, "
+    f"round(150.0 + degrees(atan2({_U}, cos({_D0}) - {_V} * sin({_D0}))), 6) AS ra, "
+    f"round(degrees(atan((sin({_D0}) + {_V} * cos({_D0})) / sqrt({_U} * {_U} + pow(cos({_D0}) - {_V} * sin({_D0}), 2)))), 6) AS dec FROM lineitem"
+)
+def sky_of_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ra, dec = wcs.Wcs.from_header(tan_header()).pixel_to_world((F.col("l_partkey") % 512).cast("double"), (F.col("l_suppkey") % 512).cast("double"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as binary tables, one file a partition, and read again."""
+    readers.register(spark)
+    writers.register(spark)
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hdulake-")).removeprefix("file://")
+    folder = f"{shared}/tables-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").write.format("hdu_table_sink").option("checksum", "true").mode("append").save(folder)
+    return spark.read.format("hdu_table").load(folder)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sky_of_pixels(spark, sf_dir)
