@@ -32,6 +32,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 10
 EMBEDDING = 8
 EPOCHS = 4
+#: Small samples are gone over more often, for at least so many steps.
+LEAST_STEPS = 400
 BATCH = 128
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -99,7 +101,7 @@ class ByteCNN:
         rng = np.random.default_rng(seed)
         params = self.parameters()
         m, v, t, loss = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, 0.0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(x))))):
             order, losses = rng.permutation(len(x)), []
             for at in range(0, len(x), BATCH):
                 pick = order[at : at + BATCH]
