@@ -21,6 +21,7 @@ read whole; labels of rows whose doc_id is null or missing among the documents a
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from hdulake.llm._common import read, remainder, slices
 
 #: Bounds of the fitting sample, in labelled documents; chosen by a hash of the doc_id.
-MAX_TOXIC, MAX_CLEAN = 2500, 3500
+MAX_TOXIC, MAX_CLEAN = 2000, 2500
 #: Distinct words of one sampled document that may go to the driver (by hash; scoring reads them all).
 MAX_WORDS = 4000
 PREFIXES = (4, 5, 6, 7)
@@ -106,34 +107,47 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     return posterior, accuracy, correlation
 
 
-def without_copies(docs: list[list[str]]) -> list[int]:
+def without_copies(docs: list[str]) -> list[int]:
     """The places of documents that aren't copies, or nearly, of an earlier one: a copied text's words prove nothing."""
     seen: set = set()
     out = []
     for i, words in enumerate(docs):
-        rare = sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in words if len(w) >= 8)[:4]
-        key = tuple(rare) if len(rare) == 4 else tuple(words)
+        rare = sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in words.split("\n") if len(w) >= 8)[:4]
+        key = tuple(rare) if len(rare) == 4 else words
         if key not in seen:
             seen.add(key)
             out.append(i)
     return out
 
 
-def fit(docs: list[list[str]], surfaces: np.ndarray, toxic: np.ndarray) -> Model:
-    """Lexicons, voters, label model and classifier from the sampled documents' words."""
+def feature_index(docs: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Document and feature of each occurrence, and the features' names, of those that enough documents have.
+
+    A first pass counts features by hash, so the names of rare ones are never kept together.
+    """
+    found = lambda words: {f for w in words.split("\n") for f in features_of(w)}
+    mask = (1 << 22) - 1
+    seen = np.zeros(mask + 1, dtype=np.int32)
+    for words in docs:
+        seen[np.unique(np.fromiter((hash(f) & mask for f in found(words)), dtype=np.int64))] += 1
+    often = (seen >= LEAST_DOCS).tobytes()
+    index: dict[str, int] = {}
+    rows, cols = array("i"), array("i")
+    for i, words in enumerate(docs):
+        for f in sorted(f for f in found(words) if often[hash(f) & mask]):
+            cols.append(index.setdefault(f, len(index)))
+            rows.append(i)
+    return np.frombuffer(rows, dtype=np.int32), np.frombuffer(cols, dtype=np.int32), list(index)
+
+
+def fit(docs: list[str], surfaces: np.ndarray, toxic: np.ndarray) -> Model:
+    """Lexicons, voters, label model and classifier from the sampled documents' words (a line each)."""
     alone = without_copies(docs)
     docs, surfaces, toxic = [docs[i] for i in alone], surfaces[alone], toxic[alone]
     n, pos = len(docs), int(toxic.sum())
     if not pos or pos == n:
         return Model()
-    lists = [sorted({f for w in words for f in features_of(w)}) for words in docs]
-    index: dict[str, int] = {}
-    rows, cols = [], []
-    for i, fs in enumerate(lists):
-        for f in fs:
-            cols.append(index.setdefault(f, len(index)))
-            rows.append(i)
-    rows, cols, names = np.array(rows), np.array(cols), list(index)
+    rows, cols, names = feature_index(docs)
     y = toxic.astype(np.float64)
     n1 = np.bincount(cols, weights=y[rows], minlength=len(names))
     n0 = np.bincount(cols, minlength=len(names)) - n1
@@ -217,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     rows.sort(key=lambda r: (r["toxic"], r["words"]))
     if not rows:
         return Model()
-    return fit([r["words"].split("\n") for r in rows], np.array([r["surface"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    return fit([r["words"] for r in rows], np.array([r["surface"] for r in rows]), np.array([r["toxic"] for r in rows]))
 
 
 def scorer(model: Model):
