@@ -33,7 +33,7 @@ def physical_complex(raw: Column, scale: float = 1.0, zero: float = 0.0) -> Colu
 def unsigned(raw: Column, stored: str) -> Column:
     """Exact unsigned values (signed ones of bytes); 64-bit ones as decimals."""
     if stored == "long":
-        return raw.cast("decimal(20,0)") + F.lit(UNSIGNED_ZERO[stored]).cast("decimal(20,0)")
+        return raw.cast("decimal(20,0)") + F.lit(str(UNSIGNED_ZERO[stored])).cast("decimal(20,0)")
     return raw.cast("long" if stored == "int" else "int") + F.lit(UNSIGNED_ZERO[stored])
 
 

@@ -79,11 +79,18 @@ def epoch_to_jd(epoch: Column) -> Column:
 
 
 def leap_seconds(mjd: Column) -> Column:
-    """TAI - UTC at a UTC date; the first and last steps hold before and after the table."""
-    out = F.lit(float(LEAP_SECONDS[0][1]))
-    for start, seconds in LEAP_SECONDS[1:]:
-        out = F.when(mjd >= start, float(seconds)).otherwise(out)
-    return out
+    """TAI - UTC at a UTC date; the first and last steps hold before and after the table.
+
+    The date is bound by a lambda, so it stands in the expression once and nested look-ups stay small.
+    """
+
+    def step(m: Column) -> Column:
+        out = F.lit(float(LEAP_SECONDS[0][1]))
+        for start, seconds in LEAP_SECONDS[1:]:
+            out = F.when(m >= start, float(seconds)).otherwise(out)
+        return out
+
+    return F.transform(F.array(mjd.cast("double")), step)[0]
 
 
 def _tdb_tt(jd: Column) -> Column:
