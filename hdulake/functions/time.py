@@ -20,7 +20,7 @@ LEAP_SECONDS = [
 #: Fixed: other names of the scales.
 SCALES = {"UTC": "UTC", "GMT": "UTC", "UT1": "UT1", "UT": "UT1", "TAI": "TAI", "IAT": "TAI", "TT": "TT", "TDT": "TT", "ET": "TT", "TCG": "TCG", "TDB": "TDB", "TCB": "TCB", "GPS": "GPS"}
 #: Fixed: seconds of the time units.
-UNITS = {"s": 1.0, "min": 60.0, "h": 3600.0, "d": 86400.0, "day": 86400.0, "a": 31557600.0, "yr": 31557600.0, "y": 31557600.0, "cy": 3155760000.0, "ta": 31556925.1261, "Ba": 31556925.9747}
+UNITS = {"s": 1.0, "min": 60.0, "h": 3600.0, "d": 86400.0, "day": 86400.0, "a": 31557600.0, "yr": 31557600.0, "y": 31557600.0, "cy": 3155760000.0, "ta": 365.24219 * 86400.0, "Ba": 365.2421988 * 86400.0}
 
 _ISO = r"^([+-]?\d{4,})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2}):(\d{2}(?:\.\d*)?))?$"
 
