@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,13 @@ from hdulake.functions.time import MJD0, SCALES, UNITS, epoch_to_jd, iso_to_mjd
 
 _REAL = ("MJDREF", "MJDREFI", "MJDREFF", "JDREF", "JDREFI", "JDREFF", "TIMEOFFS", "MJD-OBS", "JEPOCH", "BEPOCH")
 _TEXT = ("TIMESYS", "TIMEUNIT", "TREFPOS", "DATEREF", "DATE-OBS")
+_BOUNDS = ("BEG", "END", "AVG")
+_DURATIONS = ("XPOSURE", "TELAPSE", "TIMEDEL", "TIMEPIXR", "TIMSYER", "TIMRDER")
 
 
-def _wide(cards: DataFrame) -> DataFrame:
+def _wide(cards: DataFrame, reals: Sequence[str] = _REAL, texts: Sequence[str] = _TEXT) -> DataFrame:
     """path, hdu and a column for each keyword: its first card's value, null where that is of another kind."""
-    value = {**{k: F.coalesce("r", F.col("i").cast("double")) for k in _REAL}, **{k: F.col("s") for k in _TEXT}}
+    value = {**{k: F.coalesce("r", F.col("i").cast("double")) for k in reals}, **{k: F.col("s") for k in texts}}
     first = lambda k: F.min_by(value[k], F.when(F.col("keyword") == k, F.col("card_index"))).alias(k)
     # HDUs without any of the keywords have a row too, so nothing is filtered; one aggregation, combined map-side
     return cards.groupBy("path", "hdu").agg(*map(first, value))
@@ -54,3 +58,14 @@ def time_frames(cards: DataFrame) -> DataFrame:
         epoch.alias("epoch_mjd"),
         F.when(F.col("JEPOCH").isNotNull(), "TDB").when(F.col("BEPOCH").isNotNull(), "TT").alias("epoch_scale"),
     )
+
+
+def time_bounds(cards: DataFrame) -> DataFrame:
+    """path, hdu, begin_mjd, end_mjd, average_mjd, and durations and errors as stored.
+
+    A bound is that of its MJD keyword, else of its DATE keyword. The place within a bin is 0.5 if not given.
+    """
+    wide = _wide(cards, [*(f"MJD-{b}" for b in _BOUNDS), *_DURATIONS], [f"DATE-{b}" for b in _BOUNDS])
+    bounds = [F.coalesce(F.col(f"`MJD-{b}`"), iso_to_mjd(F.col(f"`DATE-{b}`"))).alias(n) for b, n in zip(_BOUNDS, ("begin_mjd", "end_mjd", "average_mjd"), strict=True)]
+    stored = [(F.coalesce(F.col(k), F.lit(0.5)) if k == "TIMEPIXR" else F.col(k)).alias(k.lower()) for k in _DURATIONS]
+    return wide.select("path", "hdu", *bounds, *stored)

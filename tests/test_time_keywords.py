@@ -1,4 +1,4 @@
-from hdulake.operators.time_keywords import time_frames
+from hdulake.operators.time_keywords import time_bounds, time_frames
 from hdulake.sources.readers import CARDS
 
 
@@ -19,3 +19,10 @@ def test_time_frames(spark):
     assert (r["b"]["scale"], r["b"]["mjdref"], r["b"]["unit_seconds"], r["b"]["obs_mjd"]) == ("Local", 1.0, 1.0, 51544.5)
     assert r["c"]["mjdref"] == 51544.0 and abs(r["c"]["obs_mjd"] - 33281.92345905) < 1e-6 and r["c"]["epoch_scale"] == "TT" and abs(r["c"]["unit_seconds"] - 365.24219 * 86400) < 1e-6
     assert (r["d"]["scale"], r["d"]["mjdref"], r["d"]["unit"], r["d"]["offset"], r["d"]["obs_mjd"]) == ("UTC", 0.0, "s", 0.0, None)
+
+
+def test_time_bounds(spark):
+    given = [*cards("a", ("MJD-BEG", 5.5), ("DATE-BEG", "2000-01-01"), ("DATE-END", "2000-01-01"), ("XPOSURE", 7), ("TIMEPIXR", 0.0)), *cards("b", ("SIMPLE", 1))]
+    r = {x["path"]: x for x in time_bounds(spark.createDataFrame(given, CARDS)).collect()}
+    assert (r["a"]["begin_mjd"], r["a"]["end_mjd"], r["a"]["average_mjd"], r["a"]["xposure"], r["a"]["timepixr"]) == (5.5, 51544.0, None, 7.0, 0.0)
+    assert (r["b"]["begin_mjd"], r["b"]["timepixr"], r["b"]["telapse"]) == (None, 0.5, None)
