@@ -17,7 +17,7 @@ Norms: the rotation sees directions, and ranks are by inner product. A query who
 could be beaten by a longer vector that isn't within the radius is the usual loss of hashing; the
 calibration is done with true inner products, so the radius grows to what the data need.
 
-A query that finds fewer than K within the radius in a block takes the whole block (the exact way).
+Queries that find fewer than K within the radius over all blocks are searched again among all rows, exactly.
 
 Edge cases: vectors that are null, zero, of another length than most, or with null or non-finite components take no part;
 fewer candidates than K give fewer rows; ties go to the smaller vec_id; repeated ids are rows of their
@@ -112,13 +112,11 @@ def search_block(q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, base
     q, b = MultiIndex(encode(unit(base), rotations)).probe(encode(unit(queries), rotations), radius)
     own = q_ids[q] == b_ids[b]
     q, b = q[~own], b[~own]
-    # the rest: a query that found too few here reads the block
-    few = np.flatnonzero(np.bincount(q, minlength=len(queries)) < min(k, len(base) - 1)) if radius_is_short(len(base), k) else np.zeros(0, dtype=np.int64)
-    if len(few):
-        keep = ~np.isin(q, few)
-        fq, fb = (x.ravel() for x in np.meshgrid(few, np.arange(len(base)), indexing="ij"))
-        other = q_ids[fq] != b_ids[fb]
-        q, b = np.concatenate([q[keep], fq[other]]), np.concatenate([b[keep], fb[other]])
+    return best_of(q, b, q_ids, queries, b_ids, base, k)
+
+
+def best_of(q: np.ndarray, b: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score of each query's k best of the candidates, which are places of queries and base."""
     scores = np.empty(len(q))
     for at in range(0, len(q), 1 << 17):
         part = slice(at, at + (1 << 17))
@@ -127,9 +125,15 @@ def search_block(q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, base
     return q_ids[q[top]], b_ids[b[top]], scores[top]
 
 
-def radius_is_short(rows: int, k: int) -> bool:
-    """A block of few rows is read whole by queries that find fewer than k in it."""
-    return rows <= 16 * k
+def search_whole(q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, base: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score of each query's k best of the block, from all of its rows."""
+    other = q_ids[:, None] != b_ids[None, :]
+    rough = np.where(other, queries @ base.T, -np.inf)
+    if len(base) > k:
+        # a product's rounding depends on its order of sums: what is that near the k-th best is scored again
+        slack = 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(base, axis=1).max()
+        other &= rough >= (np.partition(rough, -k, axis=1)[:, -k] - slack)[:, None]
+    return best_of(*np.nonzero(other), q_ids, queries, b_ids, base, k)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -188,23 +192,35 @@ def search(vectors: DataFrame, k: int = K, divisor: int = QUERY_DIVISOR, wanted:
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(s), pa.array(far, pa.int32())], names=["query_id", "score", "far"])
 
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    near = base.mapInArrow(calibrate, "query_id long, score double, far int").withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
-    far = sorted(r[0] for r in near.select("far").collect())  # CALIBRATION * k numbers
+    nearest = base.mapInArrow(calibrate, "query_id long, score double, far int").withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    far = sorted(r[0] for r in nearest.select("far").collect())  # CALIBRATION * k numbers
     radius = far[min(len(far) - 1, int(wanted * len(far)))]
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, qx, bi, bx in zip(*(batch[c].to_pylist() for c in ("q_ids", "q_x", "ids", "x")), strict=True):
-                q, b, s = search_block(*_arrays(qi, qx), *_arrays(bi, bx), rotations, radius, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    asking = blocks(queries, QUERY_BLOCK, n_queries, "query_block").select("query_block", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    # the stated query set against all rows, in blocks: each base block goes to every block of queries
-    meeting = base.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asking, F.col("met") == F.col("query_block"))
-    found = meeting.select("q_ids", "q_x", "ids", "x").repartition(max(8, min(n_blocks * max(1, n // BLOCK), 4096))).mapInArrow(find, out)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def meet(asking: DataFrame, n_asking: int, within: int | None) -> DataFrame:
+        """The ranked k best of each asking row: within the radius, or of all rows if it is None."""
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for qi, qx, bi, bx in zip(*(batch[c].to_pylist() for c in ("q_ids", "q_x", "ids", "x")), strict=True):
+                    sides = *_arrays(qi, qx), *_arrays(bi, bx)
+                    q, b, s = search_whole(*sides, k) if within is None else search_block(*sides, rotations, within, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+        n_blocks = max(1, -(-n_asking // QUERY_BLOCK))
+        dealt = blocks(asking, QUERY_BLOCK, n_asking, "query_block").select("query_block", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+        # the stated query set against all rows, in blocks: each base block goes to every block of queries
+        meeting = base.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(dealt, F.col("met") == F.col("query_block"))
+        found = meeting.select("q_ids", "q_x", "ids", "x").repartition(max(8, min(n_blocks * max(1, n // BLOCK), 4096))).mapInArrow(find, out)
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    near = checkpointed(meet(queries, n_queries, radius))
+    full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("full"))
+    short = checkpointed(queries.join(full, F.col("vec_id") == F.col("full"), "left_anti"))
+    n_short = short.count()
+    if not n_short:
+        return near
+    return near.join(full, F.col("query_id") == F.col("full"), "left_semi").unionByName(meet(short, n_short, None))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,22 @@ def test_neighbours(spark):
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_outliers(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 16)) * 0.1 + np.eye(16)[0]
+    # queries that the radius isn't calibrated on
+    ids = spark.range(0, 1500, 2).orderBy(F.desc(F.xxhash64(F.lit(3), "id"))).limit(3).collect()
+    lone = [r[0] for r in ids]
+    x[lone] = 0.3 * rng.normal(size=(3, 16)) - np.eye(16)[0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.search(frame, divisor=2).collect()
+    assert Counter(r["query_id"] for r in out) == dict.fromkeys(range(0, 1500, 2), 20)
+    for q in lone:
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == np.lexsort((np.arange(1500), -score))[:20].tolist()
+
+
 def test_counts(docs, nothing):
     e = WordEncoder()
     rng = random.Random(1)
