@@ -146,22 +146,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, least: float = LEAST_LIKENESS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Pairs a, b of class representatives whose likeness reaches ``least``, and the membership doc_id, class_id.
+    """Pairs a, b of classes whose likeness reaches ``least``, and the membership doc_id, class_id.
 
-    A class is all documents of one fingerprint, its id the least doc_id. In a band's bucket every class
-    is held against the bucket's least one, so a large bucket gives as many pairs as it has classes.
+    A class is all documents of one text (null counts as empty), its id the least doc_id. In a band's bucket
+    every class is held against every other, so a bucket gives about half the square of its classes in pairs.
     """
-    members = checkpointed(fingerprints(docs))
-    classes = members.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
     rng = np.random.default_rng(seed)
     taken = [sorted(rng.choice(PLACES, BAND_DIGITS, replace=False).tolist()) for _ in range(BANDS)]
-    keys = F.array(*(F.concat(F.lit(f"{k}:"), *(F.substring("fingerprint", p + 1, 1) for p in places)) for k, places in enumerate(taken)))
-    rows = checkpointed(classes.select("class_id", "fingerprint", F.explode(keys).alias("key")))
-    heads = rows.groupBy(F.col("key").alias("hk")).agg(F.min(F.struct("class_id", "fingerprint")).alias("head"))
-    pairs = rows.join(heads, F.col("key") == F.col("hk")).filter("class_id <> head.class_id").select(F.col("head.class_id").alias("a"), F.col("class_id").alias("b"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
-    equal = F.expr("aggregate(zip_with(split(fa, ''), split(fb, ''), (x, y) -> int(x = y)), 0, (s, x) -> s + x)")
-    verified = pairs.withColumn("likeness", equal / F.lit(float(PLACES))).filter(F.col("likeness") >= least).select("a", "b", "likeness")
-    return verified, members.join(classes, "fingerprint").select("doc_id", "class_id")
+    text_key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("text_key", text_key)
+    members = checkpointed(named.select("doc_id", "text_key"))
+    one = named.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.first("text").alias("text"))
+    numbers = checkpointed(one.select("class_id", "text_key", "text")).withColumn("place", F.monotonically_increasing_id())  # stable: the rows lie in files now
+    printed = fingerprints(numbers.select(F.col("place").alias("doc_id"), "text")).select(F.col("doc_id").alias("place"), "fingerprint")
+    keys = F.array(*(F.struct(F.lit(k).alias("band"), F.concat(*(F.substring("fingerprint", p + 1, 1) for p in places)).alias("key")) for k, places in enumerate(taken)))
+    rows = checkpointed(printed.select("place", "fingerprint", F.explode(keys).alias("at")).select("place", "fingerprint", "at.band", "at.key"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            fa, fb = (np.frombuffer("".join(batch[c].to_pylist()).encode(), dtype=np.uint8).reshape(-1, PLACES) for c in ("fa", "fb"))
+            equal = fa == fb
+            alike = equal.mean(axis=1)
+            first = np.stack([equal[:, places].all(axis=1) for places in taken], axis=1).argmax(axis=1)  # a pair counts in its first band
+            keep = pa.array((alike >= least) & (first == batch["band"].to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(alike)], names=["u", "v", "likeness"]).filter(keep)
+
+    u = rows.select("band", "key", F.col("place").alias("u"), F.col("fingerprint").alias("fa"))
+    v = rows.select("band", "key", F.col("place").alias("v"), F.col("fingerprint").alias("fb"))
+    verified = u.join(v, ["band", "key"]).filter("u < v").select("band", "u", "v", "fa", "fb").mapInArrow(verify, "u long, v long, likeness double")
+    ids = numbers.select("place", "class_id")
+    a, b = (ids.select(F.col("place").alias(f"{k}p"), F.col("class_id").alias(f"{k}c")) for k in "uv")
+    pairs = verified.join(a, F.col("u") == F.col("up")).join(b, F.col("v") == F.col("vp"))
+    pairs = pairs.select(F.least("uc", "vc").alias("a"), F.greatest("uc", "vc").alias("b"), "likeness")
+    return pairs, members.join(numbers.select("text_key", "class_id"), "text_key").select("doc_id", "class_id")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

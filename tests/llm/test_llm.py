@@ -208,6 +208,26 @@ def test_fingerprints(docs, nothing, rows):
     assert members.count() == len(rows) - 1 and pairs.count() >= 0
 
 
+def test_near_pairs(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    near = [say(150) for _ in range(6)]
+    data = [t + " " + say(k) for t in near for k in range(4)] + [say(3) for _ in range(40)] + [say(80) for _ in range(30)]
+    data += [near[0], near[0], "", None]
+    for points in (0x101, 0x220):  # one folded byte: different texts of equal fingerprints
+        data.append("colliding " * 30 + chr(points))
+    prints, least = {}, {}
+    for i, t in enumerate(data):
+        least.setdefault(t or "", i)
+        prints[i] = np.frombuffer(fingerprints.fingerprint(t).encode(), np.uint8)
+    ids = sorted(least.values())
+    want = {(a, b): fingerprints.likeness(prints[a], prints[b]) for a in ids for b in ids if a < b and fingerprints.likeness(prints[a], prints[b]) >= fingerprints.LEAST_LIKENESS}
+    pairs, members = fingerprints.near_pairs(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"))
+    out = pairs.collect()
+    assert {(r["a"], r["b"]): r["likeness"] for r in out} == want and len(out) == len(want)
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {i: least[t or ""] for i, t in enumerate(data)}
+
+
 def test_language(spark, docs, nothing):
     rng = random.Random(3)
     alphabet = {"aa": "abcde ", "bb": "vwxyz ", "cc": "äöüßé "}
