@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hdulake.llm._common import numbered, read
-from hdulake.llm.minhash import near_duplicates
+from hdulake.llm._common import read, stored, unpacked
+from hdulake.llm.minhash import near_duplicates_of
 from hdulake.llm.mixing import mix_sources
 from hdulake.llm.packing import pack, with_crc
 from hdulake.llm.suffixes import remove_repeats
@@ -24,6 +24,7 @@ from hdulake.llm.toxicity import THRESHOLD, score_documents, train
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CARRIED = tuple(c for c in COLUMNS if c != "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    gone = near_duplicates(docs).filter("not stays").select("rid")
-    return numbered(docs.select(*COLUMNS)).join(gone, "rid", "left_anti").select(*COLUMNS)
+    kept = stored(docs, CARRIED)
+    gone = near_duplicates_of(kept).filter("not stays").select("rid")
+    return unpacked(kept.join(gone, "rid", "left_anti")).select("carried.*", "text").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mix_sources(docs).filter("copies > 0").select("rid", "copies")
-    joined = numbered(docs.select(*COLUMNS)).join(taken, "rid")
+    kept = stored(docs, CARRIED)
+    taken = mix_sources(unpacked(kept).select("rid", "carried.*", "text"), rid="rid").filter("copies > 0").select("rid", "copies")
+    joined = unpacked(kept.join(taken, "rid")).select("carried.*", "text", "copies")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

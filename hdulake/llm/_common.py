@@ -6,12 +6,14 @@ import atexit
 import gc
 import shutil
 import tempfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that a Python operator works on at a time.
 ROWS_AT_A_TIME = 512
@@ -73,12 +75,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with ``rid``, a number of each row; it takes the place of a column of that name.
 
-    The number follows from the row's place in its partition, so it is the same in every run over the
-    same files. Inputs of another kind should be written first.
+    The number follows from the row's place in its partition, and how files are cut into partitions may
+    differ from plan to plan. Where several plans meet on it, the numbered rows are written first (``stored``).
     """
     return df.withColumn("rid", F.monotonically_increasing_id())
 
 
+def stored(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """``rid``, ``carried`` (a struct of the columns ``carry``) and ``packed`` (the text, compressed) of each row, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            packed = [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["carried"], pa.array(packed, pa.binary())], names=["rid", "carried", "packed"])
+
+    rows = numbered(docs.select(F.struct(*(docs[c] for c in carry)).alias("carried"), docs["text"].cast("string").alias("text"))).select("rid", "carried", "text")
+    schema = T.StructType([rows.schema["rid"], rows.schema["carried"], T.StructField("packed", T.BinaryType())])
+    return checkpointed(rows.mapInArrow(run, schema))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` with ``text`` in place of ``packed``, which comes last."""
+    others = [f for f in rows.schema if f.name != "packed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            text = [None if x is None else zlib.decompress(x).decode("utf-8", "surrogatepass") for x in batch["packed"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in others), pa.array(text, pa.string())], names=[*(f.name for f in others), "text"])
+
+    return rows.mapInArrow(run, T.StructType([*others, T.StructField("text", T.StringType())]))
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32(doc_id as text) mod ``divisor``; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)

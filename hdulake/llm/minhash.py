@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hdulake.llm._common import checkpointed, mix, numbered, read, seeds, slices
+from hdulake.llm._common import checkpointed, mix, read, seeds, slices, stored, unpacked
 from hdulake.llm.components import connected_components
 
 WORDS = 5
@@ -151,29 +151,32 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs u, v with 100 * intersection >= LEAST * union on the full sets."""
+    """The pairs u, v with 100 * intersection >= LEAST * union on the full sets, all of which must be there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keep = []
             for x, y in zip(batch["xs"].to_pylist(), batch["ys"].to_pylist(), strict=True):
+                if x is None or y is None:
+                    raise RuntimeError("a candidate's set of shingles wasn't found")
                 a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= LEAST * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = (sets.select(F.col("sid").alias(k), F.col("shingles").alias(c)) for k, c in (("xi", "xs"), ("yi", "ys")))
-    with_x = pairs.join(x, F.col("u") == F.col("xi")).select("u", "v", "xs")
-    return with_x.join(y, F.col("v") == F.col("yi")).select("u", "v", "xs", "ys").mapInArrow(run, "u long, v long")
+    with_x = pairs.join(x, F.col("u") == F.col("xi"), "left").select("u", "v", "xs")
+    return with_x.join(y, F.col("v") == F.col("yi"), "left").select("u", "v", "xs", "ys").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id and stays (true for one row of each component) of each row.
+    """``near_duplicates_of`` the rows of ``docs``."""
+    return near_duplicates_of(stored(docs, ("doc_id",)))
 
-    ``rid`` numbers the rows as ``numbered`` does.
-    """
-    base = numbered(docs).select("rid", docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    signed = checkpointed(sign(base))
+
+def near_duplicates_of(kept: DataFrame) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id and stays (true for one row of each component) of each ``stored`` row."""
+    signed = checkpointed(sign(unpacked(kept.select("rid", F.col("carried.doc_id").cast("long").alias("doc_id"), "packed"))))
     # one class for each set; its best row has the least doc_id (nulls last)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")
     classes = signed.filter("n > 0").groupBy(F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(best, *(F.first(c).alias(c) for c in ("n", "bands", "sig")))
@@ -190,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("w")).unionAll(pairs.select("v")).distinct()
         rows = classes.join(wanted, F.col("sid") == F.col("w")).select("sid", "c1", "c2", F.col("best.rid").alias("best_rid"))
-        return confirm(pairs, shingle_sets(base.join(rows, F.col("rid") == F.col("best_rid"))))
+        return confirm(pairs, shingle_sets(unpacked(kept.join(rows, F.col("rid") == F.col("best_rid")).select("sid", "c1", "c2", "packed"))))
 
     pairs = checkpointed(verified(in_buckets.filter("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct()))
     links = checkpointed(linked(pairs))

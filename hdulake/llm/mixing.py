@@ -122,10 +122,10 @@ def fly(last: bool) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 9, block: int = BLOCK) -> DataFrame:
-    """rid, doc_id, source, text_hash, size, source_size, target, copies (times the mix takes the document)."""
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 9, block: int = BLOCK, rid: str | None = None) -> DataFrame:
+    """rid (a number of the row, or the column ``rid`` that has it), doc_id, source, text_hash, size, source_size, target, copies (times the mix takes the document)."""
     spark = docs.sparkSession
-    units = numbered(docs).select("rid", docs["source"].cast("string").alias("source"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), words_in(docs["text"]).alias("size"))
+    units = (docs.withColumn("rid", docs[rid]) if rid else numbered(docs)).select("rid", docs["source"].cast("string").alias("source"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), words_in(docs["text"]).alias("size"))
     units = checkpointed(units)  # counted once; a few numbers a row
     # one row a source; Python orders strings by code point, as is asked for
     found = sorted(units.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
