@@ -237,12 +237,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 def scorer(model: Model):
     """A function from a text to its score. Words whose beginning no feature has are passed over at once."""
     weights, head = model.weights, PREFIXES[0]
-    heads, marks = {f.rstrip("*")[:head] for f in weights}, set(_STRIP)
+    heads = {f.rstrip("*")[:head] for f in weights}
 
     def score(text: str | None) -> float:
         present: dict[str, float] = {}
         for word in distinct_words(text):
-            if word[:head] in heads or word[0] in marks or (len(word) < head + 2 and word.rstrip(_STRIP) in heads):
+            if word.strip(_STRIP)[:head] in heads:
                 for f in features_of(word):
                     if f in weights:
                         present[f] = weights[f]

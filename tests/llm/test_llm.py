@@ -152,6 +152,13 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score_documents(nothing, toxicity.Model()).count() == 0
 
 
+def test_short_words_count_with_marks():
+    model = toxicity.Model(bias=-1.0, weights={"die": 3.0, "kys": 2.0})
+    score = toxicity.scorer(model)
+    for word, weight in (("die", 3.0), ("die!!!", 3.0), ("the.***", 0.0), ("kys...", 2.0), ("...kys...", 2.0)):
+        assert abs(score(f"so {word} now") - 1 / (1 + np.exp(1.0 - weight))) < 1e-12
+
+
 def brute_components(rows):
     sets = []
     for r in rows:
