@@ -68,7 +68,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mix),
     ("packing", pack_documents),
 ]
-#: SQL can't express the stages; tests/llm hold the pipeline against a brute-force version.
+#: SQL can't express the stages; no test holds the whole pipeline against a brute-force version yet.
 ORACLE_SQL = None
 
 
