@@ -82,7 +82,10 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def stored(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
-    """``rid``, ``carried`` (a struct of the columns ``carry``) and ``packed`` (the text, compressed) of each row, written once."""
+    """``rid``, ``carried`` (a struct of the columns ``carry``) and ``packed`` (the text, compressed) of each row, written once.
+
+    They are dealt by ``rid``, so joins on it leave the texts where they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -91,7 +94,7 @@ def stored(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
 
     rows = numbered(docs.select(F.struct(*(docs[c] for c in carry)).alias("carried"), docs["text"].cast("string").alias("text"))).select("rid", "carried", "text")
     schema = T.StructType([rows.schema["rid"], rows.schema["carried"], T.StructField("packed", T.BinaryType())])
-    return checkpointed(rows.mapInArrow(run, schema))
+    return checkpointed_by(rows.mapInArrow(run, schema), shuffle_partitions(docs.sparkSession), "rid")
 
 
 def unpacked(rows: DataFrame) -> DataFrame:

@@ -189,6 +189,22 @@ def test_minhash(docs, nothing, rows):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_minhash_of_a_large_group(spark):
+    """Copies of one text, edited so much that many are linked with some others alone, or with none."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 12) if i else 4):  # no copy is the text itself
+            words[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert 3 < len({k[2] for k in want}) < 140
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_rows_keep_their_numbers(spark, tmp_path):
     """Another cut of the files in every plan, as after the loss of an executor, changes no result."""
     import corpus_pipeline as pipeline
