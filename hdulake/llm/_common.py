@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that a Python operator works on at a time.
 ROWS_AT_A_TIME = 512
+#: Bytes of such a batch, unless one row has more.
+BYTES_AT_A_TIME = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +63,20 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME, size: int = BYTES_AT_A_TIME) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and, as far as single rows allow it, ``size`` bytes."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _halves(batch.slice(at, rows), size)
+
+
+def _halves(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows < 2 or batch.nbytes <= size:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from _halves(batch.slice(0, half), size)
+    yield from _halves(batch.slice(half), size)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -97,13 +108,18 @@ def stored(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     return checkpointed_by(rows.mapInArrow(run, schema), shuffle_partitions(docs.sparkSession), "rid")
 
 
+def text_of(packed: bytes | None) -> str | None:
+    """The text of a ``packed`` column's value."""
+    return None if packed is None else zlib.decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def unpacked(rows: DataFrame) -> DataFrame:
     """The columns of ``rows`` with ``text`` in place of ``packed``, which comes last."""
     others = [f for f in rows.schema if f.name != "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            text = [None if x is None else zlib.decompress(x).decode("utf-8", "surrogatepass") for x in batch["packed"].to_pylist()]
+            text = [text_of(x) for x in batch["packed"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in others), pa.array(text, pa.string())], names=[*(f.name for f in others), "text"])
 
     return rows.mapInArrow(run, T.StructType([*others, T.StructField("text", T.StringType())]))
@@ -126,3 +142,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 def seeds(n: int, seed: int) -> np.ndarray:
     """``n`` well-mixed 64-bit words that follow from ``seed``."""
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Powers of the base and of its inverse modulo 2^64, by position; grown as texts ask for it.
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        size = max(n, 2 * len(_powers[0]), 1 << 16)
+        for i, base in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
+            p = np.full(size, base, dtype=np.uint64)
+            p[0] = 1
+            _powers[i] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a text's bytes, and where each begins and ends."""
+    n = len(raw)
+    edge = np.diff(np.concatenate(([1], _SPACE[raw].view(np.int8), [1])))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64), start, end
+    power, inverse = _powers_to(n + 1)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end

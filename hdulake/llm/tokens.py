@@ -1,29 +1,21 @@
-"""Byte-level BPE ids with a memory of words, shared by packing and token counts.
+"""Byte-level BPE ids, shared by packing and token counts.
 
-Cutting a text before every space leaves the pre-tokens whole unless a space is followed by further
-white space, so the words between spaces are encoded once each and looked up afterwards. Texts with
-such runs are encoded whole. The ids are those of the tokenizer file ``byte_bpe_50k.json``; the same
-vocabulary as ranks is read here because its library encodes single words several times faster (the
-tests hold the two against each other).
+The ids are those of the tokenizer file ``byte_bpe_50k.json``. The same vocabulary as ranks is read here because
+its library encodes several times faster (the tests hold the two against each other). Texts of a corpus
+hold too many distinct words for a memory of encoded ones to gain anything over encoding them anew.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+import sys
+from array import array
 
-import numpy as np
+_shared: dict[str | None, Encoder] = {}
 
-#: Words kept by a worker; beyond it the memory starts afresh. Longer words are not kept.
-KEPT_WORDS = 700_000
-LONGEST_KEPT = 48
 
-_RUN = re.compile(r" \s")
-_shared: dict[str, WordEncoder] = {}
-
-
-class WordEncoder(dict):
-    """Ids of texts as little-endian unsigned 16-bit strings. As a dict: of words that follow a space."""
+class Encoder:
+    """Ids of texts as little-endian unsigned 16-bit strings."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
@@ -33,31 +25,17 @@ class WordEncoder(dict):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.core = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        super().__init__()
+        self.core = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.core.encode_ordinary(text), dtype="<u2").tobytes()
+    def encode(self, text: str) -> bytes:
+        ids = array("H", self.core.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(" " + word)
-        if len(word) <= LONGEST_KEPT:
-            self[word] = ids
-        return ids
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _RUN.search(text):
-            return self.whole(text)
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, rest))
-
-
-def encoder(path: str | None = None) -> WordEncoder:
-    """The worker's own encoder; it keeps its words from task to task."""
+def encoder(path: str | None = None) -> Encoder:
+    """The worker's own encoder."""
     if path not in _shared:
-        _shared[path] = WordEncoder(path)
+        _shared[path] = Encoder(path)
     return _shared[path]
