@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hdulake.llm._common import checkpointed, mix, read, seeds, slices, stored, unpacked
+from hdulake.llm._common import BASE, checkpointed, mix, read, seeds, slices, stored, text_of, words_of
 from hdulake.llm.components import connected_components
 
 WORDS = 5
@@ -47,41 +47,18 @@ LEAST = 75  # per cent
 LEAST_AGREEMENT = 0.5
 
 _A, _B = seeds(N_HASHES, 61) | np.uint64(1), seeds(N_HASHES, 67)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Powers of the base and of its inverse modulo 2^64, by position; grown as texts ask for it.
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's shingles."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)  # bytes.lower() changes A-Z alone
-    n = len(raw)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    edge = np.diff(np.concatenate(([1], _SPACE[raw].view(np.int8), [1])))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
+    word = words_of(raw)[0]
+    if not len(word):
         return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers_to(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    word = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     k = min(words, len(word))
     out = np.full(len(word) - k + 1, np.uint64(len(word) if len(word) < words else words))
     for i in range(k):
-        out = mix(out * _BASE + word[i : len(word) - k + 1 + i])
+        out = mix(out * BASE + word[i : len(word) - k + 1 + i])
     return np.unique(out)
 
 
@@ -96,20 +73,20 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def bands(minima: np.ndarray) -> np.ndarray:
     keys = minima.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * BASE
     for i in range(ROWS):
-        out = mix(out ^ keys[:, i]) * _BASE
+        out = mix(out ^ keys[:, i]) * BASE
     return out
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(kept: DataFrame) -> DataFrame:
     """rid, doc_id, n_shingles, two hashes of the whole set, its band keys and its signature's upper 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
-            for text in batch["text"].to_pylist():
-                s = shingles(text)
+            for packed in batch["packed"].to_pylist():
+                s = shingles(text_of(packed))
                 if not len(s):
                     rows.append((0, None, None, None, None))
                     continue
@@ -118,7 +95,7 @@ def sign(docs: DataFrame) -> DataFrame:
             n, h1, h2, keys, sig = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["rid", "doc_id", "n", "h1", "h2", "bands", "sig"])
 
-    return docs.mapInArrow(run, "rid long, doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary")
+    return kept.select("rid", F.col("carried.doc_id").cast("long").alias("doc_id"), "packed").mapInArrow(run, "rid long, doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary")
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
@@ -136,23 +113,23 @@ def agreeing(pairs: DataFrame) -> DataFrame:
 
 def whole_set(s: np.ndarray) -> list[int]:
     """Two hashes of a set of shingles."""
-    return [int(mix(s * m).sum(dtype=np.uint64).view(np.int64)) for m in (_BASE, _A[0])]
+    return [int(mix(s * m).sum(dtype=np.uint64).view(np.int64)) for m in (BASE, _A[0])]
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(kept: DataFrame) -> DataFrame:
     """sid and shingles of the rows whose text has the set that sid stands for (c1, c2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sids, found = [], []
-            for sid, c1, c2, text in zip(*(batch[c].to_pylist() for c in ("sid", "c1", "c2", "text")), strict=True):
-                s = shingles(text)
+            for sid, c1, c2, packed in zip(*(batch[c].to_pylist() for c in ("sid", "c1", "c2", "packed")), strict=True):
+                s = shingles(text_of(packed))
                 if len(s) and whole_set(s) == [c1, c2]:
                     sids.append(sid)
                     found.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(found, pa.binary())], names=["sid", "shingles"])
 
-    return docs.select("sid", "c1", "c2", "text").mapInArrow(run, "sid long, shingles binary")
+    return kept.select("sid", "c1", "c2", "packed").mapInArrow(run, "sid long, shingles binary")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,7 +213,7 @@ def pivots_of(in_buckets: DataFrame) -> DataFrame:
 
 def near_duplicates_of(kept: DataFrame) -> DataFrame:
     """rid, doc_id, n_shingles, component_id and stays (true for one row of each component) of each ``stored`` row."""
-    signed = checkpointed(sign(unpacked(kept.select("rid", F.col("carried.doc_id").cast("long").alias("doc_id"), "packed"))))
+    signed = checkpointed(sign(kept))
     # one class for each set; its best row has the least doc_id (nulls last)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")
     classes = signed.filter("n > 0").groupBy(F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(best, *(F.first(c).alias(c) for c in ("n", "bands", "sig")))
@@ -248,7 +225,7 @@ def near_duplicates_of(kept: DataFrame) -> DataFrame:
     with_pivot = in_buckets.join(pivots, F.col("key") == F.col("k")).select("key", "sid", "pivot")
     wanted = in_buckets.select(F.col("sid").alias("w")).distinct()
     rows = classes.join(wanted, F.col("sid") == F.col("w")).select("sid", "c1", "c2", F.col("best.rid").alias("best_rid"))
-    sets = checkpointed(shingle_sets(unpacked(kept.join(rows, F.col("rid") == F.col("best_rid")).select("sid", "c1", "c2", "packed"))))
+    sets = checkpointed(shingle_sets(kept.join(rows, F.col("rid") == F.col("best_rid"))))
     signatures = classes.join(wanted, F.col("sid") == F.col("w")).select("sid", "n", "sig")
 
     def linked(pairs: DataFrame) -> DataFrame:

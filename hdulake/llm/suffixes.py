@@ -1,12 +1,12 @@
 """Op 10. Removal of long repeated passages by sparse distributed prefix doubling.
 
-A byte goes if a string of ``LENGTH`` (400) bytes that covers it also starts anywhere else. Prefix
+A symbol (a byte, or a word) goes if a string of ``length`` symbols that covers it also starts anywhere else. Prefix
 doubling sorts suffixes by pairs (rank of the first half, rank of the second half), reranks, and goes
 on with twice the length; a suffix of unique rank is settled and leaves. Run over every position of
-the corpus that is several sorts of as many rows as there are bytes, so positions are thinned first,
-without loss:
+the corpus that is several sorts of as many rows as there are symbols, so positions are thinned first,
+without loss (figures for bytes, ``BYTES``; ``WORDS`` are the same with 50 words, spans of 25 and grams of 4):
 
-* Each 400-byte window has an anchor: the place of the least 16-byte hash among its first ``SPAN`` (200)
+* Each 400-byte window has an anchor: the place of the least 16-byte hash among its first ``span`` (200)
   positions. That is a property of the window's content alone, so two equal windows have their
   anchors at the same offset, and the windows with one anchor are a run of neighbouring starts.
 * Round 1 ranks anchors by the first 200 bytes after them. All windows of an anchor hold those, so an
@@ -26,7 +26,7 @@ and nothing has to be numbered globally.
 Hot passages are grouped with map-side counts; no group is collected. Texts are read once, compressed
 and written to the checkpoint folder, dealt by row number.
 
-Edge cases: a null or empty text has no bytes and keeps none; texts shorter than 400 bytes keep all;
+Edge cases: a null or empty text has no bytes and keeps none; texts shorter than ``length`` keep all;
 very long texts are handled in segments; a row repeated (doc_id included) repeats its windows; matches
 within a document count; an empty table gives an empty result; further columns are left behind.
 """
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hdulake.llm._common import checkpointed, checkpointed_by, mix, numbered, read, shuffle_partitions, slices
+from hdulake.llm._common import checkpointed, checkpointed_by, mix, numbered, read, shuffle_partitions, slices, words_of
 
-LENGTH = 400
-GRAM = 16
-SPAN = 200
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What a text is a string of, and how long a repeated string must be."""
+
+    words: bool
+    length: int
+    gram: int
+    span: int
+
+    def symbols(self, text: bytes) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """The symbols, and where each begins and ends in the text (None: at its own place)."""
+        raw = np.frombuffer(text, dtype=np.uint8)
+        return words_of(raw) if self.words else (raw, None, None)
+
+
+BYTES = Unit(words=False, length=400, gram=16, span=200)
+#: Passages of 50 words, whatever their length in bytes and the white space between.
+WORDS = Unit(words=True, length=50, gram=4, span=25)
 #: Positions of a text whose anchors are found at a time.
 SEGMENT = 1 << 19
 
@@ -59,33 +77,38 @@ ANCHOR = np.dtype([("rank", "<i8"), ("cover", "<i8"), ("at", "<i4"), ("last", "<
 PART = 8
 
 
-def grams(raw: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte strings."""
-    n = len(raw) - GRAM + 1
-    words = np.lib.stride_tricks.as_strided(raw[: len(raw) - 7].view(), shape=(len(raw) - 7, 8), strides=(1, 1))
+def grams(symbols: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all strings of ``gram`` symbols (bytes: of 16)."""
+    n = len(symbols) - gram + 1
+    if symbols.dtype == np.uint64:
+        out = mix(symbols[:n] + _C1)
+        for i in range(1, gram):
+            out = mix(out * _C2 + symbols[i : n + i])
+        return out
+    words = np.lib.stride_tricks.as_strided(symbols[: len(symbols) - 7].view(), shape=(len(symbols) - 7, 8), strides=(1, 1))
     words = np.ascontiguousarray(words).view("<u8")[:, 0]
     x = words[:n] * _C1 ^ (words[8 : n + 8] + _C2) * _C2
     return mix(x)
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(symbols: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each run of neighbouring window starts with one anchor: the anchor, the first and the last start."""
-    starts = len(raw) - LENGTH + 1
+    starts = len(symbols) - unit.length + 1
     if starts < 1:
         return (np.zeros(0, dtype=np.int64),) * 3
     found = np.empty(starts, dtype=np.int64)
     for at in range(0, starts, SEGMENT):
         n = min(SEGMENT, starts - at)
-        key = grams(raw[at : at + n + SPAN - 1 + GRAM - 1])  # n + SPAN - 1 positions
+        key = grams(symbols[at : at + n + unit.span - 1 + unit.gram - 1], unit.gram)  # n + span - 1 positions
         # the place in the low bits: the least key is the rightmost of the least hashes
         low = np.arange(len(key), dtype=np.uint64)
         bits = np.uint64((1 << 20) - 1)
         key = (key | bits) - low
         least, width = key, 1
-        while 2 * width <= SPAN:
+        while 2 * width <= unit.span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
-        least = np.minimum(least[:n], least[SPAN - width : SPAN - width + n])
+        least = np.minimum(least[:n], least[unit.span - width : unit.span - width + n])
         found[at : at + n] = at + (bits - (least & bits)).astype(np.int64)
     change = np.flatnonzero(np.diff(found)) + 1
     first = np.concatenate(([0], change))
@@ -97,36 +120,44 @@ def _name(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def anchor_records(text: bytes) -> np.ndarray:
-    raw = np.frombuffer(text, dtype=np.uint8)
-    at, first, last = anchors(raw)
+def _view(symbols: np.ndarray) -> tuple[memoryview, int]:
+    """The symbols' bytes, and bytes of a symbol."""
+    return memoryview(symbols).cast("B"), symbols.itemsize
+
+
+def anchor_records(text: bytes, unit: Unit = BYTES) -> np.ndarray:
+    symbols = unit.symbols(text)[0]
+    at, first, last = anchors(symbols, unit)
     out = np.empty(len(at), dtype=ANCHOR)
     out["at"], out["last"] = at, last
-    inner, view, name = LENGTH - SPAN, memoryview(text), _name
-    out["rank"] = [name(view[a : a + inner]) for a in at.tolist()]
-    out["cover"] = [name(view[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    if len(at):
+        (view, w), inner, name = _view(symbols), unit.length - unit.span, _name
+        out["rank"] = [name(view[w * a : w * (a + inner)]) for a in at.tolist()]
+        out["cover"] = [name(view[w * a : w * (b + unit.length)]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
     return out
 
 
-def window_names(text: bytes, first: int, last: int) -> np.ndarray:
-    """Two hashes of each window that starts in first..last, by doubling 16-byte names."""
-    raw = np.frombuffer(text, dtype=np.uint8)[first : last + LENGTH]
-    n = last - first + 1
-    out = []
+def window_names(symbols: np.ndarray, first: int, last: int, unit: Unit = BYTES) -> np.ndarray:
+    """Two hashes of each window that starts in first..last, by doubling the names of grams."""
+    part, n, out = symbols[first : last + unit.length], last - first + 1, []
     for c in (_C1, _C2):
-        name, width = mix(grams(raw) + c), GRAM
-        while 2 * width <= LENGTH:
+        name, width = mix(grams(part, unit.gram) + c), unit.gram
+        while 2 * width <= unit.length:
             name = mix(name[:-width] * c + mix(name[width:] ^ c))
             width *= 2
-        out.append(mix(name[:n] * c + mix(name[LENGTH - width : LENGTH - width + n] ^ c)))
+        out.append(mix(name[:n] * c + mix(name[unit.length - width : unit.length - width + n] ^ c)))
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in slices(batches):
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["rid"], batch["carried"], pa.array([press.compress(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([anchor_records(t).tobytes() for t in texts], pa.binary())], names=["rid", "carried", "packed", "n_bytes", "anchors"])
+def _store(units: tuple[Unit, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
+            found = [pa.array([anchor_records(t, u).tobytes() for t in texts], pa.binary()) for u in units]
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["carried"], pa.array([press.compress(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), *found], names=["rid", "carried", "packed", "n_bytes", *(f"anchors{k}" for k in range(len(units)))])
+
+    return run
 
 
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,55 +175,61 @@ def firsts_of(records: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], records["last"][:-1] + 1)).astype(np.int64) if len(records) else np.zeros(0, dtype=np.int64)
 
 
-def block_records(text: bytes, at: int, first: int, last: int) -> list[tuple[int, int, int, int]]:
+def block_records(symbols: np.ndarray, at: int, first: int, last: int, length: int) -> list[tuple[int, int, int, int]]:
     """Of each block of an anchor's starts: names of what its windows share and of what they cover, first and last start.
 
     Blocks are laid out from the anchor, so equal windows lie in equal places of their blocks.
     """
-    view, out = memoryview(text), []
+    (view, w), out = _view(symbols), []
     for k in range((at - last) // PART, (at - first) // PART + 1):
         high = at - PART * k
         low = high - PART + 1
         lo, hi = max(low, first), min(high, last)
-        out.append((_name(view[high : low + LENGTH]), _name(view[lo : hi + LENGTH]), lo, hi))
+        out.append((_name(view[w * high : w * (low + length)]), _name(view[w * lo : w * (hi + length)]), lo, hi))
     return out
 
 
-def _list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    expand = zstandard.ZstdDecompressor()
-    for batch in slices(batches, 64):
-        rows: list[tuple] = []
-        for rid, packed, records, numbers, alone in zip(*(batch[c].to_pylist() for c in ("rid", "packed", "anchors", "numbers", "alone")), strict=True):
-            text, r = expand.decompress(packed), np.frombuffer(records, dtype=ANCHOR)
-            first = firsts_of(r)
-            for k, single in zip(numbers, alone, strict=True):
-                rows += [(*b, rid, single) for b in block_records(text, int(r["at"][k]), int(first[k]), int(r["last"][k]))]
-        if rows:
-            core, cover, lo, hi, rids, single = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(cover, pa.int64()), pa.array(rids, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(single, pa.bool_())], names=["core", "cover", "rid", "first", "last", "alone"])
-
-
-def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    expand = zstandard.ZstdDecompressor()
-    for batch in slices(batches, 64):
-        parts: list[tuple] = []
-        for rid, packed, items in zip(*(batch[c].to_pylist() for c in ("rid", "packed", "items")), strict=True):
-            text = expand.decompress(packed)
-            for item in items:
-                first, last = item["first"], item["last"]
-                parts.append((rid, window_names(text, first, last), np.arange(first, last + 1, dtype=np.int32), item["alone"]))
-        if parts:
-            sizes = [len(p[2]) for p in parts]
-            names = np.concatenate([p[1] for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(np.repeat([p[0] for p in parts], sizes)), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.repeat([p[3] for p in parts], sizes))], names=["w1", "w2", "rid", "start", "alone"])
-
-
-def spans_of(records: np.ndarray, whole: list[int], runs: list[dict]) -> np.ndarray:
-    """The maximal removed runs, as rows (from, to), of anchors that are repeated whole and runs of repeated starts."""
+def _list_blocks(unit: Unit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in slices(batches, 64):
+            rows: list[tuple] = []
+            for rid, packed, records, numbers, alone in zip(*(batch[c].to_pylist() for c in ("rid", "packed", "anchors", "numbers", "alone")), strict=True):
+                symbols, r = unit.symbols(expand.decompress(packed))[0], np.frombuffer(records, dtype=ANCHOR)
+                first = firsts_of(r)
+                for k, single in zip(numbers, alone, strict=True):
+                    rows += [(*b, rid, single) for b in block_records(symbols, int(r["at"][k]), int(first[k]), int(r["last"][k]), unit.length)]
+            if rows:
+                core, cover, lo, hi, rids, single = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(cover, pa.int64()), pa.array(rids, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(single, pa.bool_())], names=["core", "cover", "rid", "first", "last", "alone"])
+
+    return run
+
+
+def _list_windows(unit: Unit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in slices(batches, 64):
+            parts: list[tuple] = []
+            for rid, packed, items in zip(*(batch[c].to_pylist() for c in ("rid", "packed", "items")), strict=True):
+                symbols = unit.symbols(expand.decompress(packed))[0]
+                for item in items:
+                    first, last = item["first"], item["last"]
+                    parts.append((rid, window_names(symbols, first, last, unit), np.arange(first, last + 1, dtype=np.int32), item["alone"]))
+            if parts:
+                sizes = [len(p[2]) for p in parts]
+                names = np.concatenate([p[1] for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(np.repeat([p[0] for p in parts], sizes)), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.repeat([p[3] for p in parts], sizes))], names=["w1", "w2", "rid", "start", "alone"])
+
+    return run
+
+
+def spans_of(records: np.ndarray, whole: list[int], runs: list[dict], length: int = BYTES.length) -> np.ndarray:
+    """The maximal removed runs of symbols, as rows (from, to), of anchors that are repeated whole and runs of repeated starts."""
     firsts = np.concatenate([firsts_of(records)[whole], np.array([r["first"] for r in runs], dtype=np.int64)])
     lasts = np.concatenate([records["last"][whole].astype(np.int64), np.array([r["last"] for r in runs], dtype=np.int64)])
     order = np.argsort(firsts, kind="stable")
-    a, b = firsts[order], np.maximum.accumulate(lasts[order] + LENGTH) if len(order) else lasts
+    a, b = firsts[order], np.maximum.accumulate(lasts[order] + length) if len(order) else lasts
     if not len(a):
         return np.zeros((0, 2), dtype=np.int64)
     new = np.concatenate(([True], a[1:] > b[:-1]))
@@ -200,41 +237,39 @@ def spans_of(records: np.ndarray, whole: list[int], runs: list[dict]) -> np.ndar
     return np.stack([a[begin], b[np.concatenate((begin[1:], [len(a)])) - 1]], axis=1)
 
 
-def _cut(as_text: bool):
+def _cut(units: tuple[Unit, ...], as_text: bool):
+    """Of each text: its length, the bytes and spans of the first unit's repeats, what is left without them, and the bytes of the others' repeats."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in slices(batches, 128):
+            found = [[batch[f"{c}{k}"].to_pylist() for c in ("anchors", "whole", "runs")] for k in range(len(units))]
             rows: list[tuple] = []
-            for packed, n, records, whole, runs in zip(*(batch[c].to_pylist() for c in ("packed", "n_bytes", "anchors", "whole", "runs")), strict=True):
-                text = expand.decompress(packed)
-                spans = spans_of(np.frombuffer(records, dtype=ANCHOR), whole or [], runs or [])
+            for i, packed in enumerate(batch["packed"].to_pylist()):
+                text, spans = expand.decompress(packed), []
+                for unit, (records, whole, runs) in zip(units, found, strict=True):
+                    own = spans_of(np.frombuffer(records[i], dtype=ANCHOR), whole[i] or [], runs[i] or [], unit.length)
+                    if unit.words and len(own):
+                        _, begin, end = unit.symbols(text)
+                        own = np.stack([begin[own[:, 0]], end[own[:, 1] - 1]], axis=1)
+                    spans.append(own)
                 at, kept = 0, []
-                for a, b in spans.tolist():
+                for a, b in spans[0].tolist():
                     kept.append(text[at:a])
                     at = b
                 kept.append(text[at:])
                 left = b"".join(kept)
-                rows.append((n, int((spans[:, 1] - spans[:, 0]).sum()), spans.tolist(), left.decode("utf-8", "ignore") if as_text else left))
-            n, gone, spans, kept = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch["carried"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string() if as_text else pa.binary())], names=["carried", "n_bytes", "n_removed", "spans", "kept"])
+                sizes = [int((x[:, 1] - x[:, 0]).sum()) for x in spans]
+                rows.append((sizes[0], spans[0].tolist(), left.decode("utf-8", "ignore") if as_text else left, *sizes[1:]))
+            gone, spans, kept, *more = zip(*rows, strict=True) if rows else ((),) * (2 + len(units))
+            more = [pa.array(x, pa.int64()) for x in more]
+            yield pa.RecordBatch.from_arrays([batch["carried"], batch["n_bytes"], pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string() if as_text else pa.binary()), *more], names=["carried", "n_bytes", "n_removed", "spans", "kept", *(f"n_removed{k + 1}" for k in range(len(more)))])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
-    """The columns ``carry`` of each row of ``docs``, n_bytes, n_removed, spans (from, to in bytes) and the kept bytes.
-
-    With ``as_text`` what is kept is a string; a span's border may lie within a character, and what is
-    left of such a character goes too.
-    """
-    spark = docs.sparkSession
-    base = numbered(docs.select(F.struct(*(docs[c] for c in carry)).alias("carried"), docs["text"].cast("string").alias("text")))
-    carried = base.schema["carried"].dataType
-    field, long = T.StructField, T.LongType()
-    store = T.StructType([field("rid", long), field("carried", carried), field("packed", T.BinaryType()), field("n_bytes", long), field("anchors", T.BinaryType())])
-    cut = T.StructType([field("carried", carried), field("n_bytes", long), field("n_removed", long), field("spans", T.ArrayType(T.ArrayType(long))), field("kept", T.StringType() if as_text else T.BinaryType())])
-    parts = shuffle_partitions(spark)
-    stored = checkpointed_by(base.select("rid", "carried", "text").mapInArrow(_store, store), parts, "rid")
+def find_repeats(stored: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
+    """The repeats in the stored texts (rid, packed, anchors): wr and whole (numbers of anchors), sr and runs (first, last) by document."""
     listed = stored.select("rid", "anchors").mapInArrow(_list_anchors, "rank long, cover long, rid long, number int")
     # round 1: anchors whose rank isn't unique
     counts = listed.groupBy(F.col("rank").alias("r")).agg(F.count("*").alias("n")).filter("n > 1").select("r")
@@ -247,7 +282,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_tex
     asked = classes.join(lone, F.col("rank") == F.col("r")).groupBy(F.col("one.rid").alias("o")).agg(F.collect_list(item).alias("items"))  # at most the anchors of one document
     # round 3: blocks of starts
     blocks = stored.join(asked, F.col("rid") == F.col("o")).select("rid", "packed", "anchors", F.col("items.number").alias("numbers"), F.col("items.alone").alias("alone"))
-    blocks = checkpointed(blocks.mapInArrow(_list_blocks, "core long, cover long, rid long, first int, last int, alone boolean"))
+    blocks = checkpointed(blocks.mapInArrow(_list_blocks(unit), "core long, cover long, rid long, first int, last int, alone boolean"))
     counts = blocks.groupBy(F.col("core").alias("r")).agg(F.count("*").alias("n")).filter("n > 1").select("r")
     live = checkpointed(blocks.join(counts, F.col("core") == F.col("r")).drop("r"))
     classes = live.groupBy("core", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "first", "last", "alone")).alias("one"))
@@ -257,15 +292,37 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_tex
     asked = classes.join(lone, F.col("core") == F.col("r")).groupBy(F.col("one.rid").alias("o")).agg(F.collect_list(item).alias("items"))  # at most the blocks of one document
     # round 4: single windows
     windows = stored.join(asked, F.col("rid") == F.col("o")).select("rid", "packed", "items")
-    windows = checkpointed(windows.mapInArrow(_list_windows, "w1 long, w2 long, rid long, start int, alone boolean"))
+    windows = checkpointed(windows.mapInArrow(_list_windows(unit), "w1 long, w2 long, rid long, start int, alone boolean"))
     twice = windows.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.count("*").alias("n")).filter("n > 1")
     single = windows.filter("alone").join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
     # collected by document: at most the anchors and the starts of one
     by_whole = whole.groupBy(F.col("rid").alias("wr")).agg(F.collect_list("number").alias("whole"))
     by_run = parts_whole.unionAll(single).groupBy(F.col("rid").alias("sr")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    marked = stored.join(by_whole, F.col("rid") == F.col("wr"), "left").join(by_run, F.col("rid") == F.col("sr"), "left")
-    done = marked.select("carried", "packed", "n_bytes", "anchors", "whole", "runs").mapInArrow(_cut(as_text), cut)
-    return done.select("carried.*", "n_bytes", "n_removed", "spans", "kept")
+    return by_whole, by_run
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False, units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
+    """The columns ``carry`` of each row of ``docs``, n_bytes, n_removed, spans (from, to in bytes) and the kept bytes.
+
+    These follow the first unit; of each further one only the bytes that its repeats cover are told (n_removed1, ...).
+    With ``as_text`` what is kept is a string; a span's border may lie within a character, and what is
+    left of such a character goes too.
+    """
+    spark = docs.sparkSession
+    base = numbered(docs.select(F.struct(*(docs[c] for c in carry)).alias("carried"), docs["text"].cast("string").alias("text")))
+    carried = base.schema["carried"].dataType
+    field, long, binary = T.StructField, T.LongType(), T.BinaryType()
+    store = T.StructType([field("rid", long), field("carried", carried), field("packed", binary), field("n_bytes", long), *(field(f"anchors{k}", binary) for k in range(len(units)))])
+    cut = T.StructType([field("carried", carried), field("n_bytes", long), field("n_removed", long), field("spans", T.ArrayType(T.ArrayType(long))), field("kept", T.StringType() if as_text else binary), *(field(f"n_removed{k}", long) for k in range(1, len(units)))])
+    stored = checkpointed_by(base.select("rid", "carried", "text").mapInArrow(_store(units), store), shuffle_partitions(spark), "rid")
+    marked = stored
+    for k, unit in enumerate(units):
+        by_whole, by_run = find_repeats(stored.select("rid", "packed", F.col(f"anchors{k}").alias("anchors")), unit)
+        by_whole, by_run = by_whole.withColumnsRenamed({"wr": f"wr{k}", "whole": f"whole{k}"}), by_run.withColumnsRenamed({"sr": f"sr{k}", "runs": f"runs{k}"})
+        marked = marked.join(by_whole, F.col("rid") == F.col(f"wr{k}"), "left").join(by_run, F.col("rid") == F.col(f"sr{k}"), "left")
+    columns = [f"{c}{k}" for k in range(len(units)) for c in ("anchors", "whole", "runs")]
+    done = marked.select("carried", "packed", "n_bytes", *columns).mapInArrow(_cut(units, as_text), cut)
+    return done.select("carried.*", *cut.names[1:])
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

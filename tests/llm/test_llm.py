@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hdulake.llm import counts, fingerprints, language, minhash, mixing, neighbours, packing, sharding, suffixes, toxicity
 from hdulake.llm.components import connected_components
-from hdulake.llm.tokens import WordEncoder
+from hdulake.llm.tokens import Encoder
 
 
 
@@ -67,7 +67,7 @@ def test_sharding(docs, nothing, rows):
 
 
 def test_tokens_agree():
-    e, t = WordEncoder(), tokenizer()
+    e, t = Encoder(), tokenizer()
     for text in [x or "" for x in texts()] + [" ", "a   b", "x\n \n y", "<|endoftext|> ok", "a  b", "\t\t z"]:
         assert np.frombuffer(e.encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
@@ -84,6 +84,13 @@ def test_packing(docs, nothing, rows):
     own = sorted((r["start"], bytes(r["piece"])) for r in out if r["doc_id"] == 7)
     assert np.frombuffer(b"".join(p for _, p in own), "<u2").tolist() == [*t.encode(whole, add_special_tokens=False).ids, 1]
     assert packing.pack(nothing).count() == 0
+    for r in out:
+        ids = np.frombuffer(bytes(r["piece"]), "<u2").astype("<u4")
+        assert r["ids_crc32"] == zlib.crc32(ids.tobytes()) and len(ids) == r["length"] <= r["doc_tokens"]
+    key = lambda r: (r["sequence_id"], r["offset"], r["doc_id"] or -1, r["start"], r["ids_crc32"])
+    few = packing.pack(docs, length=64, with_ids=False)
+    assert "piece" not in few.columns and sorted(map(key, few.coalesce(1).collect())) == sorted(map(key, out))
+    assert sorted(map(key, few.unionAll(few).collect())) == sorted(2 * [key(r) for r in out])
 
 
 def test_neighbours(spark):
@@ -122,7 +129,7 @@ def test_neighbours_of_outliers(spark):
 
 
 def test_counts(docs, nothing):
-    e = WordEncoder()
+    e = Encoder()
     rng = random.Random(1)
     for text in [x or "" for x in texts()]:
         tree, plain = counts.TokenTree(text, e), text
@@ -130,7 +137,7 @@ def test_counts(docs, nothing):
             at, gone, new = rng.randrange(len(plain) + 1), rng.choice([0, 1, 5, 900]), rng.choice(["", " ", "  ", "new words here", "\n"])
             tree.edit(at, gone, new)
             plain = plain[:at] + new + plain[at + gone :]
-            assert tree.text() == plain and tree.n_tokens == len(e.whole(plain)) // 2
+            assert tree.text() == plain and tree.n_tokens == len(e.encode(plain)) // 2
     assert counts.count_with_edits(counts.production_edits(docs)).count() == docs.count()
     assert counts.count_with_edits(counts.production_edits(nothing)).count() == 0
 
@@ -333,6 +340,31 @@ def test_suffixes(docs, nothing, rows):
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+def test_suffixes_of_words(docs, nothing, rows):
+    """Passages of 50 words, whatever white space stands between, beside those of 400 bytes."""
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode())] for r in rows]
+    data, seen = [(r[0], (r[1] or "").encode()) for r in rows], Counter()
+    grams = [[tuple(t[a:b] for a, b in w[p : p + 50]) for p in range(len(w) - 49)] for (_, t), w in zip(data, words, strict=True)]
+    for g in grams:
+        seen.update(g)
+    want = Counter()
+    for (i, t), w, own in zip(data, words, grams, strict=True):
+        gone = bytearray(len(t))
+        for p, g in enumerate(own):
+            if seen[g] > 1:
+                a, b = w[p][0], w[p + 49][1]
+                gone[a:b] = b"\1" * (b - a)
+        want[i, len(t), sum(gone), bytes(c for c, g in zip(t, gone) if not g)] += 1
+    out = suffixes.remove_repeats(docs, units=(suffixes.WORDS,)).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in out) == want
+    assert sum(k[2] > 0 for k in want) > 5
+    both = suffixes.remove_repeats(docs, units=(suffixes.BYTES, suffixes.WORDS)).collect()
+    plain = suffixes.remove_repeats(docs).collect()
+    assert Counter((r["doc_id"], bytes(r["kept"])) for r in both) == Counter((r["doc_id"], bytes(r["kept"])) for r in plain)
+    assert Counter((r["doc_id"], r["n_removed1"]) for r in both) == Counter((k[0], k[2]) for k in want.elements())
+    assert suffixes.remove_repeats(nothing, units=(suffixes.WORDS,)).count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as pipeline
 
