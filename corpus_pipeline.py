@@ -2,6 +2,11 @@
 
 ``STAGES`` lists its stages. Each takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``. All but the last return the columns of documents.
+
+Edge cases: an empty table goes through every stage as one; null and empty texts stay (scored by the bias
+alone, linked with nothing, without passages, one end id when packed; the mix takes them as it takes
+others of size 0); repeated rows are near-duplicates of each other, so one of them stays; further columns
+of documents, clashing names among them, end at the first stage.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from pyspark.sql import functions as F
 from hdulake.llm._common import read, stored, unpacked
 from hdulake.llm.minhash import near_duplicates_of
 from hdulake.llm.mixing import mix_sources
-from hdulake.llm.packing import pack, with_crc
-from hdulake.llm.suffixes import remove_repeats
+from hdulake.llm.packing import pack
+from hdulake.llm.suffixes import WORDS, remove_repeats
 from hdulake.llm.toxicity import THRESHOLD, score_documents, train
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -41,9 +46,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated passages go; every document stays, if with less text. A null text stays null."""
+    """Passages of at least 50 words that also stand elsewhere go; every document stays, if with less text. A null text stays null."""
     marked = docs.select("doc_id", "text", "lang", "source", F.col("text").isNull().alias("none"))
-    kept = remove_repeats(marked, carry=("doc_id", "lang", "source", "none"), as_text=True)
+    kept = remove_repeats(marked, carry=("doc_id", "lang", "source", "none"), as_text=True, units=(WORDS,))
     text = F.when(~F.col("none"), F.col("kept"))
     return kept.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
@@ -58,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return with_crc(pack(docs))
+    return pack(docs, with_ids=False)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -73,14 +78,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
+    """The stages applied to documents, each written to the shared folder and read again.
+
+    A stage's rows are removed once the next one's are written, the last stage's when the session ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="hdulake-pipeline-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     base = f"{folder}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.deleteOnExit(path)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}"), True)
     return docs
