@@ -151,7 +151,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
     if len(_powers[0]) < n:
         size = max(n, 2 * len(_powers[0]), 1 << 16)
         for i, base in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
@@ -168,7 +169,7 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(0, dtype=np.uint64), start, end
-    power, inverse = _powers_to(n + 1)
+    power, inverse = powers_to(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end

@@ -4,7 +4,7 @@ A symbol (a byte, or a word) goes if a string of ``length`` symbols that covers
 doubling sorts suffixes by pairs (rank of the first half, rank of the second half), reranks, and goes
 on with twice the length; a suffix of unique rank is settled and leaves. Run over every position of
 the corpus that is several sorts of as many rows as there are symbols, so positions are thinned first,
-without loss (figures for bytes, ``BYTES``; ``WORDS`` are the same with 50 words, spans of 25 and grams of 4):
+without loss (figures for bytes, ``BYTES``; ``WORDS`` are the same with 50 words, spans of 32 and grams of 4):
 
 * Each 400-byte window has an anchor: the place of the least 16-byte hash among its first ``span`` (200)
   positions. That is a property of the window's content alone, so two equal windows have their
@@ -19,7 +19,7 @@ without loss (figures for bytes, ``BYTES``; ``WORDS`` are the same with 50 words
 * Round 4 takes single windows of the blocks that are still open: pairs of the ranks of two 256-byte
   halves (overlapping by 112). A window whose pair isn't unique is repeated.
 
-Ranks are names: equal strings get equal hashes (two of 64 bits where they decide), those of windows
+Ranks are names: equal strings get equal hashes (two of 64 bits where they decide), those of single windows
 made by doubling 16-byte names, so that Spark's sort-based grouping on the pairs is the reranking
 and nothing has to be numbered globally.
 
@@ -33,7 +33,6 @@ within a document count; an empty table gives an empty result; further columns a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hdulake.llm._common import checkpointed, checkpointed_by, mix, numbered, read, shuffle_partitions, slices, words_of
+from hdulake.llm._common import checkpointed, checkpointed_by, mix, numbered, powers_to, read, seeds, shuffle_partitions, slices, words_of
 
 
 
@@ -65,14 +64,16 @@ class Unit:
 
 BYTES = Unit(words=False, length=400, gram=16, span=200)
 #: Passages of 50 words, whatever their length in bytes and the white space between.
-WORDS = Unit(words=True, length=50, gram=4, span=25)
+WORDS = Unit(words=True, length=50, gram=4, span=32)
 #: Positions of a text whose anchors are found at a time.
 SEGMENT = 1 << 19
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: An anchor, as kept beside its text: rank of its 200 bytes, hash of all that its windows cover, itself and its last
-#: start. The first start is the one after the anchor before.
-ANCHOR = np.dtype([("rank", "<i8"), ("cover", "<i8"), ("at", "<i4"), ("last", "<i4")])
+#: Two hashes of each byte.
+_TABLES = seeds(256, 101), seeds(256, 103)
+#: An anchor, as kept beside its text: rank of its first symbols, hash of all that its windows cover, how far it lies
+#: after its first start, and the number of its starts (both under a span). Its first start is the one after the anchor before.
+ANCHOR = np.dtype([("rank", "<i8"), ("cover", "<i8"), ("ahead", "u1"), ("starts", "u1")])
 #: Starts in a block of round 3.
 PART = 8
 
@@ -116,32 +117,42 @@ def anchors(symbols: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np
     return found[first], first, last
 
 
-def _name(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+class Names:
+    """Hashes of strings of symbols, equal for equal strings: polynomials in the symbols' own hashes, by prefix sums."""
 
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
+        power, self.inverse = powers_to(n + 1)
+        self.sums = []
+        for table, c in zip(_TABLES, (_C1, _C2), strict=True):
+            own = mix(symbols + c) if symbols.dtype == np.uint64 else table[symbols]
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(own * power[:n], out=total[1:])
+            self.sums.append(total)
 
-def _view(symbols: np.ndarray) -> tuple[memoryview, int]:
-    """The symbols' bytes, and bytes of a symbol."""
-    return memoryview(symbols).cast("B"), symbols.itemsize
+    def of(self, which: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The names of symbols[begin:end], of the first or second kind."""
+        total = self.sums[which]
+        return mix((total[end] - total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64) * _C2).view(np.int64)
 
 
 def anchor_records(text: bytes, unit: Unit = BYTES) -> np.ndarray:
     symbols = unit.symbols(text)[0]
     at, first, last = anchors(symbols, unit)
     out = np.empty(len(at), dtype=ANCHOR)
-    out["at"], out["last"] = at, last
+    out["ahead"], out["starts"] = at - first, last - first + 1
     if len(at):
-        (view, w), inner, name = _view(symbols), unit.length - unit.span, _name
-        out["rank"] = [name(view[w * a : w * (a + inner)]) for a in at.tolist()]
-        out["cover"] = [name(view[w * a : w * (b + unit.length)]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        names = Names(symbols)
+        out["rank"] = names.of(0, at, at + unit.length - unit.span)
+        out["cover"] = names.of(1, first, last + unit.length)
     return out
 
 
-def window_names(symbols: np.ndarray, first: int, last: int, unit: Unit = BYTES) -> np.ndarray:
-    """Two hashes of each window that starts in first..last, by doubling the names of grams."""
-    part, n, out = symbols[first : last + unit.length], last - first + 1, []
+def window_names(symbols: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
+    """Two hashes of each window of the symbols, by doubling the names of grams."""
+    n, out = len(symbols) - unit.length + 1, []
     for c in (_C1, _C2):
-        name, width = mix(grams(part, unit.gram) + c), unit.gram
+        name, width = mix(grams(symbols, unit.gram) + c), unit.gram
         while 2 * width <= unit.length:
             name = mix(name[:-width] * c + mix(name[width:] ^ c))
             width *= 2
@@ -149,6 +160,12 @@ def window_names(symbols: np.ndarray, first: int, last: int, unit: Unit = BYTES)
     return np.stack(out, axis=1).view(np.int64)
 
 
+def stretches(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that the windows starting in first..last cover, one stretch after the other, and how far each has moved."""
+    ends = last + length
+    return np.concatenate([symbols[i:j] for i, j in zip(first.tolist(), ends.tolist(), strict=True)]), np.cumsum(ends - first) - ends
+
+
 def _store(units: tuple[Unit, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -160,33 +177,43 @@ def _store(units: tuple[Unit, ...]):
     return run
 
 
+def _list_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [np.frombuffer(a, dtype=ANCHOR)["rank"] for a in batch["anchors"].to_pylist()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["r"])
+
+
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        records = [np.frombuffer(a, dtype=ANCHOR) for a in batch["anchors"].to_pylist()]
-        if not records:
+        blobs = batch["anchors"].to_pylist()
+        if not blobs:
             continue
-        r = np.concatenate(records)
-        rid = np.repeat(batch["rid"].to_numpy(), [len(x) for x in records])
-        number = np.concatenate([np.arange(len(x), dtype=np.int32) for x in records])
+        sizes = np.array([len(x) // ANCHOR.itemsize for x in blobs])
+        r = np.frombuffer(b"".join(blobs), dtype=ANCHOR)
+        rid = np.repeat(batch["rid"].to_numpy(), sizes)
+        number = (np.arange(len(r)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["rank"])), pa.array(np.ascontiguousarray(r["cover"])), pa.array(rid), pa.array(number)], names=["rank", "cover", "rid", "number"])
 
 
-def firsts_of(records: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], records["last"][:-1] + 1)).astype(np.int64) if len(records) else np.zeros(0, dtype=np.int64)
+def starts_of(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last start of each anchor."""
+    after = np.cumsum(records["starts"], dtype=np.int64)
+    return after - records["starts"], after - 1
 
 
-def block_records(symbols: np.ndarray, at: int, first: int, last: int, length: int) -> list[tuple[int, int, int, int]]:
-    """Of each block of an anchor's starts: names of what its windows share and of what they cover, first and last start.
+def block_records(names: Names, at: np.ndarray, first: np.ndarray, last: np.ndarray, alone: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of each block of the anchors' starts: names of what its windows share and of what they cover, first and last start, alone, the anchor's place.
 
     Blocks are laid out from the anchor, so equal windows lie in equal places of their blocks.
     """
-    (view, w), out = _view(symbols), []
-    for k in range((at - last) // PART, (at - first) // PART + 1):
-        high = at - PART * k
-        low = high - PART + 1
-        lo, hi = max(low, first), min(high, last)
-        out.append((_name(view[w * high : w * (low + length)]), _name(view[w * lo : w * (hi + length)]), lo, hi))
-    return out
+    least, most = (at - last) // PART, (at - first) // PART
+    owner = np.repeat(np.arange(len(at)), most - least + 1)
+    k = least[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(most - least + 1) - (most - least + 1), most - least + 1)
+    high = at[owner] - PART * k
+    low = high - PART + 1
+    lo, hi = np.maximum(low, first[owner]), np.minimum(high, last[owner])
+    return names.of(0, high, low + length), names.of(1, lo, hi + length), lo, hi, alone[owner], owner
 
 
 def _list_blocks(unit: Unit):
@@ -195,13 +222,14 @@ def _list_blocks(unit: Unit):
         for batch in slices(batches, 64):
             rows: list[tuple] = []
             for rid, packed, records, numbers, alone in zip(*(batch[c].to_pylist() for c in ("rid", "packed", "anchors", "numbers", "alone")), strict=True):
-                symbols, r = unit.symbols(expand.decompress(packed))[0], np.frombuffer(records, dtype=ANCHOR)
-                first = firsts_of(r)
-                for k, single in zip(numbers, alone, strict=True):
-                    rows += [(*b, rid, single) for b in block_records(symbols, int(r["at"][k]), int(first[k]), int(r["last"][k]), unit.length)]
+                r, numbers = np.frombuffer(records, dtype=ANCHOR), np.array(numbers)
+                first, last = (x[numbers] for x in starts_of(r))
+                symbols, moved = stretches(unit.symbols(expand.decompress(packed))[0], first, last, unit.length)
+                core, cover, lo, hi, single, owner = block_records(Names(symbols), first + r["ahead"][numbers] + moved, first + moved, last + moved, np.array(alone), unit.length)
+                rows.append((core, cover, lo - moved[owner], hi - moved[owner], single, np.full(len(core), rid)))
             if rows:
-                core, cover, lo, hi, rids, single = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(cover, pa.int64()), pa.array(rids, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(single, pa.bool_())], names=["core", "cover", "rid", "first", "last", "alone"])
+                core, cover, lo, hi, single, rids = map(np.concatenate, zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(cover), pa.array(rids), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(single)], names=["core", "cover", "rid", "first", "last", "alone"])
 
     return run
 
@@ -212,26 +240,28 @@ def _list_windows(unit: Unit):
         for batch in slices(batches, 64):
             parts: list[tuple] = []
             for rid, packed, items in zip(*(batch[c].to_pylist() for c in ("rid", "packed", "items")), strict=True):
-                symbols = unit.symbols(expand.decompress(packed))[0]
-                for item in items:
-                    first, last = item["first"], item["last"]
-                    parts.append((rid, window_names(symbols, first, last, unit), np.arange(first, last + 1, dtype=np.int32), item["alone"]))
+                first, last, alone = (np.array([item[k] for item in items]) for k in ("first", "last", "alone"))
+                symbols, moved = stretches(unit.symbols(expand.decompress(packed))[0], first, last, unit.length)
+                n = last - first + 1
+                start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                names = window_names(symbols, unit)[start + np.repeat(moved, n)]
+                parts.append((names, np.full(len(start), rid), start.astype(np.int32), np.repeat(alone, n)))
             if parts:
-                sizes = [len(p[2]) for p in parts]
-                names = np.concatenate([p[1] for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(np.repeat([p[0] for p in parts], sizes)), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.repeat([p[3] for p in parts], sizes))], names=["w1", "w2", "rid", "start", "alone"])
+                names, rids, start, alone = map(np.concatenate, zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(rids), pa.array(start), pa.array(alone)], names=["w1", "w2", "rid", "start", "alone"])
 
     return run
 
 
 def spans_of(records: np.ndarray, whole: list[int], runs: list[dict], length: int = BYTES.length) -> np.ndarray:
     """The maximal removed runs of symbols, as rows (from, to), of anchors that are repeated whole and runs of repeated starts."""
-    firsts = np.concatenate([firsts_of(records)[whole], np.array([r["first"] for r in runs], dtype=np.int64)])
-    lasts = np.concatenate([records["last"][whole].astype(np.int64), np.array([r["last"] for r in runs], dtype=np.int64)])
-    order = np.argsort(firsts, kind="stable")
-    a, b = firsts[order], np.maximum.accumulate(lasts[order] + length) if len(order) else lasts
-    if not len(a):
+    if not len(whole) and not len(runs):
         return np.zeros((0, 2), dtype=np.int64)
+    begin, end = starts_of(records)
+    firsts = np.concatenate([begin[whole], np.array([r["first"] for r in runs], dtype=np.int64)])
+    lasts = np.concatenate([end[whole], np.array([r["last"] for r in runs], dtype=np.int64)])
+    order = np.argsort(firsts, kind="stable")
+    a, b = firsts[order], np.maximum.accumulate(lasts[order] + length)
     new = np.concatenate(([True], a[1:] > b[:-1]))
     begin = np.flatnonzero(new)
     return np.stack([a[begin], b[np.concatenate((begin[1:], [len(a)])) - 1]], axis=1)
@@ -243,12 +273,12 @@ def _cut(units: tuple[Unit, ...], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in slices(batches, 128):
-            found = [[batch[f"{c}{k}"].to_pylist() for c in ("anchors", "whole", "runs")] for k in range(len(units))]
+            found = [(batch[f"anchors{k}"], batch[f"whole{k}"].to_pylist(), batch[f"runs{k}"].to_pylist()) for k in range(len(units))]
             rows: list[tuple] = []
             for i, packed in enumerate(batch["packed"].to_pylist()):
                 text, spans = expand.decompress(packed), []
                 for unit, (records, whole, runs) in zip(units, found, strict=True):
-                    own = spans_of(np.frombuffer(records[i], dtype=ANCHOR), whole[i] or [], runs[i] or [], unit.length)
+                    own = spans_of(np.frombuffer(records[i].as_py(), dtype=ANCHOR), whole[i] or [], runs[i] or [], unit.length)
                     if unit.words and len(own):
                         _, begin, end = unit.symbols(text)
                         own = np.stack([begin[own[:, 0]], end[own[:, 1] - 1]], axis=1)
@@ -272,7 +302,7 @@ def find_repeats(stored: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     """The repeats in the stored texts (rid, packed, anchors): wr and whole (numbers of anchors), sr and runs (first, last) by document."""
     listed = stored.select("rid", "anchors").mapInArrow(_list_anchors, "rank long, cover long, rid long, number int")
     # round 1: anchors whose rank isn't unique
-    counts = listed.groupBy(F.col("rank").alias("r")).agg(F.count("*").alias("n")).filter("n > 1").select("r")
+    counts = stored.select("anchors").mapInArrow(_list_ranks, "r long").groupBy("r").agg(F.count("*").alias("n")).filter("n > 1").select("r")
     live = checkpointed(listed.join(counts, F.col("rank") == F.col("r")).select("rank", "cover", "rid", "number"))
     # round 2: pairs; the members of repeated ones are done, and one of each pair goes on where a lone one is left
     classes = live.groupBy("rank", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "number")).alias("one"))
@@ -326,5 +356,6 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_tex
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns are those of 400 bytes; passage_bytes are those that a repeated passage of 50 words covers."""
+    out = remove_repeats(read(spark, sf_dir, "documents"), units=(BYTES, WORDS))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("n_removed1").alias("passage_bytes"))
