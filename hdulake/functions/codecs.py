@@ -1,4 +1,4 @@
-"""Tile codecs: GZIP_1, GZIP_2, RICE_1, PLIO_1, NOCOMPRESS, and the quantisation of floats with dither."""
+"""Tile codecs: GZIP_1, GZIP_2, RICE_1, PLIO_1, HCOMPRESS_1, NOCOMPRESS, and the quantisation of floats with dither."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from functools import cache
 import numpy as np
 
 from hdulake.errors import HduError
+from hdulake.functions import hcompress
 
 #: Fixed by the format: bits of a block's parameter and its largest value, by bytes of a pixel.
 RICE = {1: (3, 6), 2: (4, 14), 4: (5, 25)}
@@ -36,9 +37,13 @@ def unshuffle_bytes(data: bytes, width: int) -> bytes:
     return np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T.tobytes()
 
 
+def gzip_bytes(data: bytes, level: int = 1) -> bytes:
+    return gzip.compress(data, level, mtime=0)
+
+
 def gzip_tile(raw: np.ndarray, planes: bool = False, level: int = 1) -> bytes:
     big = raw.astype(raw.dtype.newbyteorder(">")).tobytes()
-    return gzip.compress(shuffle_bytes(big, raw.dtype.itemsize) if planes else big, level, mtime=0)
+    return gzip_bytes(shuffle_bytes(big, raw.dtype.itemsize) if planes else big, level)
 
 
 def rice_encode(values: np.ndarray, width: int, block: int = 32) -> bytes:
@@ -198,19 +203,30 @@ def dequantize(raw: np.ndarray, scale: float, zero: float, method: str, row: int
 
 
 def noise_of(x: np.ndarray) -> float:
-    """Third-order noise estimate: 0.6052697 times the median of the rows' median absolute third differences."""
-    rows = []
-    for row in np.atleast_2d(x):
+    """Third-order noise estimate: 0.6052697 times the median over rows of their lower median absolute difference.
+
+    A row's pixels that aren't finite are passed over, windows of five equal ones don't count, and a tile
+    under five pixels wide is one row.
+    """
+    x = np.atleast_2d(x).astype(np.float64)
+    found = []
+    for row in x.reshape(1, -1) if x.shape[1] < 5 else x:
         row = row[np.isfinite(row)]
-        if len(row) >= 9:
-            d = np.sort(np.abs(2 * row[4:-4] - row[2:-6] - row[6:-2]))
-            rows.append(d[(len(d) - 1) // 2])
-    return 0.6052697 * float(np.median(rows)) if rows else 0.0
+        if len(row) < 5:
+            continue
+        windows = np.lib.stride_tricks.sliding_window_view(row, 5)
+        d = np.abs(2 * windows[:, 2] - windows[:, 0] - windows[:, 4])[(windows != windows[:, :1]).any(axis=1)]
+        if len(d):
+            k = (len(d) - 1) // 2
+            found.append(np.partition(d, k)[k])
+    return 0.6052697 * float(np.median(found)) if found else 0.0
 
 
 def quantize(x: np.ndarray, method: str, row: int, level: float = 4.0) -> tuple[np.ndarray, float, float] | None:
-    """Integers, scale and zero of a tile of floats, or None if it can't be quantised."""
-    delta = noise_of(x) / level
+    """Integers, scale and zero of a tile of floats, or None if it can't be quantised. A level of 0 counts as 4."""
+    if x.size <= 1:
+        return None
+    delta = noise_of(x) / (level or 4.0)
     flat = x.ravel().astype(np.float64)
     bad = ~np.isfinite(flat)
     good = flat[~bad]
@@ -252,6 +268,8 @@ def decode_tile(cell: dict, codec: str, bitpix: int, n: int, dims: list[int], pa
         width = int(parameters.get("BYTEPIX", 4))
         out = rice_decode(data, n, width, int(parameters.get("BLOCKSIZE", 32)))
         return out & 0xFF if bitpix == 8 else out
+    if codec == "HCOMPRESS_1":
+        return hcompress.decode(data, bool(parameters.get("SMOOTH", 0)), n).ravel()
     if codec == "NOCOMPRESS":
         return np.frombuffer(data, dtype=whole).astype(whole.newbyteorder("="))
     raise HduError("UnsupportedCompression", codec)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hdulake.sources.header import Header
+
 MJD0 = 2400000.5
 #: Fixed constants of the time scales (days, seconds, rates).
 TT_TAI, TAI_GPS = 32.184, 19.0
@@ -22,7 +24,7 @@ SCALES = {"UTC": "UTC", "GMT": "UTC", "UT1": "UT1", "UT": "UT1", "TAI": "TAI", "
 #: Fixed: seconds of the time units.
 UNITS = {"s": 1.0, "min": 60.0, "h": 3600.0, "d": 86400.0, "day": 86400.0, "a": 31557600.0, "yr": 31557600.0, "y": 31557600.0, "cy": 3155760000.0, "ta": 365.24219 * 86400.0, "Ba": 365.2421988 * 86400.0}
 
-_ISO = r"^([+-]?\d{4,})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2}):(\d{2}(?:\.\d*)?))?$"
+_ISO = r"^([+-]?\d{4,})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2}(?:\.\d*)?))?)?$"
 
 
 def scale_of(name: str) -> str:
@@ -39,14 +41,19 @@ def day_number(year: Column, month: Column, day: Column) -> Column:
 
 def iso_to_jd(text: Column) -> Column:
     """Julian date of an ISO date or date-time; null if it isn't one that the calendar has."""
-    t = F.trim(text)
-    part = lambda k, kind: F.nullif(F.regexp_extract(t, _ISO, k), F.lit("")).cast(kind)
-    year, month, day = part(1, "long"), part(2, "int"), part(3, "int")
-    hour, minute, second = (F.coalesce(part(k, kind), F.lit(0)) for k, kind in ((4, "int"), (5, "int"), (6, "double")))
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    fine = (month.between(1, 12)) & (day >= 1) & (day <= days) & (hour < 24) & (minute < 60) & (second < 61) & (F.abs(year) <= 1_000_000)
-    return F.when(fine, day_number(year, month, day) - 0.5 + (hour * 3600 + minute * 60 + second) / 86400.0)
+
+    def read(p: Column) -> Column:
+        part = lambda k, kind: F.nullif(F.get(p, F.lit(k)), F.lit("")).try_cast(kind)
+        year, month, day = part(0, "long"), part(1, "int"), part(2, "int")
+        hour, minute, second = (F.coalesce(part(k, kind), F.lit(0)) for k, kind in ((3, "int"), (4, "int"), (5, "double")))
+        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+        days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        fine = (month.between(1, 12)) & (day >= 1) & (day <= days) & (hour < 24) & (minute < 60) & (second < 61) & (F.abs(year) <= 1_000_000)
+        return F.when(fine, day_number(year, month, day) - 0.5 + (hour * 3600 + minute * 60 + second) / 86400.0)
+
+    # one match: its groups, joined by bars, are split and bound once; a text that isn't a date gives one part
+    parts = F.split(F.regexp_replace(F.trim(text), _ISO, "$1|$2|$3|$4|$5|$6"), r"\|", -1)
+    return F.get(F.transform(F.filter(F.array(parts), lambda p: F.size(p) == 6), read), F.lit(0))
 
 
 def iso_to_mjd(text: Column) -> Column:
@@ -118,8 +125,7 @@ def to_tt(jd: Column, scale: str, dut1: float = 0.0) -> Column:
 def from_tt(jd: Column, scale: str, dut1: float = 0.0) -> Column:
     if scale in ("UTC", "UT1"):
         tai = jd - TT_TAI / 86400
-        # the step is looked up at UTC itself: once with the TAI date, then with what that gives
-        utc = tai - leap_seconds(tai - MJD0 - leap_seconds(tai - MJD0) / 86400) / 86400
+        utc = tai - leap_seconds(tai - MJD0) / 86400  # the step is looked up at the TAI date
         return utc + dut1 / 86400 if scale == "UT1" else utc
     tdb = jd + _tdb_tt(jd) / 86400
     return {
@@ -150,3 +156,26 @@ def fold_phase(t: Column, zero: float, period: float) -> Column:
         return F.lit(0.0)
     x = (t - F.lit(float(zero))) / F.lit(float(period))
     return x - F.floor(x)
+
+
+def axis_kind(ctype: str) -> str | None:
+    """TIME (also for the name of a scale), PHASE, TIMELAG or FREQUENCY; None for axes that aren't of time."""
+    head = ctype.partition("-")[0].strip()
+    if head in ("TIME", "PHASE", "TIMELAG", "FREQUENCY"):
+        return head
+    return "TIME" if scale_of(head) != "Local" else None
+
+
+def time_axis_mjd(header: Header, axis: int, pixel: Column, reference_mjd: float, unit: str = "s", offset: float = 0.0) -> Column | None:
+    """MJD of 1-based pixels along a time axis; None if it isn't one."""
+    if axis_kind(header.text(f"CTYPE{axis}") or "") != "TIME":
+        return None
+    place = pixel - F.lit(header.real(f"CRPIX{axis}", 0.0))
+    return relative_to_mjd(F.lit(header.real(f"CRVAL{axis}", 0.0)) + F.lit(header.real(f"CDELT{axis}", 1.0)) * place, reference_mjd, unit, offset)
+
+
+def phase_axis(header: Header, axis: int) -> tuple[float, float] | None:
+    """The zero phase and the period of a phase axis (what ``fold_phase`` takes); None if it isn't one."""
+    if axis_kind(header.text(f"CTYPE{axis}") or "") != "PHASE":
+        return None
+    return header.real(f"CZPHS{axis}", 0.0), header.real(f"CPERI{axis}", 0.0)

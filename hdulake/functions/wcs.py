@@ -1,17 +1,18 @@
 """World coordinates as column expressions: pixel to world and back, for celestial pairs and linear axes.
 
 A ``Wcs`` is read from a header on the driver; its numbers become literals of the expressions, so a
-transform is one projection inside code generation. Projections that need an iteration (inverse ZPN and AIR,
-forward MOL, inverse PCO) take a fixed number of Newton steps in a fold over an array, so that the expression
-stays small however many steps there are.
+transform is one projection inside code generation. Projections that need an iteration (inverse ZPN, AIR and PCO,
+forward MOL) solve for a whole Arrow batch at a time, by Newton steps until nothing moves any more.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ D = 180 / math.pi
 ZENITHAL = ("AZP", "SZP", "TAN", "STG", "SIN", "ARC", "ZPN", "ZEA", "AIR")
 CONIC = ("COP", "COE", "COD", "COO")
 OTHERS = ("CYP", "CEA", "CAR", "MER", "SFL", "PAR", "MOL", "AIT", "BON", "PCO")
-NEWTON = 12
+#: Newton steps at most, and the step (radians) that counts as none.
+NEWTON, STILL = 100, 1e-14
 DEGREES = {"deg": 1.0, "arcmin": 1 / 60, "arcsec": 1 / 3600, "mas": 1 / 3.6e6, "rad": D}
 
 
@@ -35,11 +37,81 @@ def _cos(x):
 
 
 def _clip(x: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+    """x between -1 and 1; NaN, which Spark orders above all numbers, stays NaN."""
+    return F.when(x > 1.0, F.when(F.isnan(x), x).otherwise(1.0)).when(x < -1.0, -1.0).otherwise(x)
 
 
-def _newton(start: Column, step, rounds: int = NEWTON) -> Column:
-    return F.aggregate(F.array_repeat(F.lit(0), rounds), start.cast("double"), lambda x, _: step(x))
+def _newton(start: np.ndarray, step: Callable[[np.ndarray], np.ndarray], low: float = -np.inf, high: float = np.inf) -> np.ndarray:
+    """The roots that the steps (what to take off) lead to, kept between ``low`` and ``high``."""
+    x = np.clip(np.asarray(start, dtype=np.float64), low, high)
+    with np.errstate(all="ignore"):
+        for _ in range(NEWTON):
+            move = step(x)
+            new = np.clip(x - np.where(np.isfinite(move), move, 0.0), low, high)
+            still = np.nanmax(np.abs(new - x), initial=0.0) < STILL
+            x = new
+            if still:
+                break
+    return x
+
+
+def _solved(f: Callable[..., np.ndarray], *columns: Column) -> Column:
+    """f of the columns' batches; nulls and NaNs go in as NaN, and NaN comes out where any of them is."""
+
+    read = lambda p: p.to_numpy(dtype=np.float64, na_value=np.nan)
+
+    def one(p: pd.Series) -> pd.Series:
+        return pd.Series(f(read(p)))
+
+    def two(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series(f(read(p), read(q)))
+
+    missing = F.lit(False)
+    for c in columns:
+        missing = missing | F.isnan(c)
+    return F.when(missing, float("nan")).otherwise(F.pandas_udf(one if len(columns) == 1 else two, "double")(*columns))
+
+
+def _zpn_zeta(pv: list[float]) -> Callable[[np.ndarray], np.ndarray]:
+    c = np.array([float(v or 0.0) for v in pv] or [0.0])
+    slope = c[1:] * np.arange(1, len(c))
+
+    def solve(u: np.ndarray) -> np.ndarray:
+        return _newton(u, lambda z: (np.polyval(c[::-1], z) - u) / np.polyval(slope[::-1], z))
+
+    return solve
+
+
+def _air_xi(k: float) -> Callable[[np.ndarray], np.ndarray]:
+    def solve(u: np.ndarray) -> np.ndarray:
+        def step(xi: np.ndarray) -> np.ndarray:
+            log, tan = np.log(np.cos(xi)), np.tan(xi)
+            return (-2 * (log / tan + k * tan) - u) / (-2 * (-1 - log / np.sin(xi) ** 2 + k / np.cos(xi) ** 2))
+
+        return _newton(u / 2, step, 1e-9, math.pi / 2 - 1e-6)
+
+    return solve
+
+
+def _pco_theta(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def step(t: np.ndarray) -> np.ndarray:
+        f = u * u - 2 * (v - t) / np.tan(t) + (v - t) ** 2
+        return f / (2 / np.tan(t) + 2 * (v - t) / np.sin(t) ** 2 - 2 * (v - t))
+
+    return _newton(0.9 * v, step, -math.pi / 2 + 1e-9, math.pi / 2 - 1e-9)
+
+
+def _mol_gamma(theta: np.ndarray) -> np.ndarray:
+    """gamma with 2 gamma + sin 2 gamma = pi sin theta; sought as the distance e = pi - 2 gamma from the pole, where the root is threefold."""
+    goal = 2 * math.pi * np.sin(np.radians(90.0 - np.abs(theta)) / 2) ** 2
+
+    def step(e: np.ndarray) -> np.ndarray:
+        # e - sin e, without cancelling where e is small
+        f = np.where(e < 1e-2, e**3 / 6 * (1 - e**2 / 20 * (1 - e**2 / 42)), e - np.sin(e))
+        return (f - goal) / (2 * np.sin(e / 2) ** 2)
+
+    e = _newton(np.cbrt(6 * goal), step, 0.0, math.pi)
+    return np.copysign((math.pi - e) / 2, theta)
 
 
 def norm360(x: Column) -> Column:
@@ -117,9 +189,7 @@ def project(code: str, phi: Column, theta: Column, pv: list[float]) -> tuple[Col
         cot = 1 / F.tan(t)
         return F.when(theta == 0, phi).otherwise(D * cot * F.sin(w)), F.when(theta == 0, 0.0).otherwise(theta + D * cot * (1 - F.cos(w)))
     if code == "MOL":
-        goal = math.pi * F.sin(t)
-        g = _newton(t, lambda g: g - (2 * g + F.sin(2 * g) - goal) / F.greatest(2 + 2 * F.cos(2 * g), F.lit(1e-9)))
-        g = F.when(F.abs(theta) >= 90, F.signum(theta) * math.pi / 2).otherwise(g)
+        g = _solved(_mol_gamma, theta.cast("double"))
         return 2 * math.sqrt(2) / math.pi * phi * F.cos(g), math.sqrt(2) * D * F.sin(g)
     if code == "AIT":
         half = F.radians(phi) / 2
@@ -166,30 +236,9 @@ def deproject(code: str, x: Column, y: Column, pv: list[float]) -> tuple[Column,
         phi = F.when(r == 0, 0.0).otherwise(F.degrees(F.atan2(x, -y)))
         u = r / D
         if code == "ZPN":
-            slope = [m * float(c or 0.0) for m, c in enumerate(pv)][1:]
-
-            def polynomial(c: list[float], z: Column) -> Column:
-                out = F.lit(0.0)
-                for k in reversed(c):
-                    out = out * z + F.lit(float(k or 0.0))
-                return out
-
-            def zpn(z: Column) -> Column:
-                df = polynomial(slope, z)
-                return z - (polynomial(pv, z) - u) / F.when(F.abs(df) < 1e-12, 1e-12).otherwise(df)
-
-            zeta = _newton(u / (pv[1] if len(pv) > 1 and pv[1] else 1.0), zpn)
-            return phi, 90.0 - F.degrees(zeta)
+            return phi, 90.0 - F.degrees(_solved(_zpn_zeta(pv), u))
         if code == "AIR":
-            k = _air_k(pv)
-
-            def air(xi: Column) -> Column:
-                f = -2 * (F.log(F.cos(xi)) / F.tan(xi) + k * F.tan(xi)) - u
-                df = -2 * (-1 - F.log(F.cos(xi)) / F.pow(F.sin(xi), F.lit(2.0)) + k / F.pow(F.cos(xi), F.lit(2.0)))
-                return F.least(F.greatest(xi - f / df, F.lit(1e-9)), F.lit(math.pi / 2 - 1e-6))
-
-            xi = _newton(F.greatest(u / 2, F.lit(1e-9)), air)
-            return phi, F.when(u == 0, 90.0).otherwise(90.0 - F.degrees(2 * xi))
+            return phi, F.when(u == 0, 90.0).otherwise(90.0 - F.degrees(2 * _solved(_air_xi(_air_k(pv)), u)))
         zeta = {"TAN": lambda: F.atan(u), "SIN": lambda: F.asin(_clip(u)), "ARC": lambda: u, "ZEA": lambda: 2 * F.asin(_clip(u / 2)), "STG": lambda: 2 * F.atan(u / 2)}[code]()
         return phi, 90.0 - F.degrees(zeta)
     if code in CONIC:
@@ -216,13 +265,7 @@ def deproject(code: str, x: Column, y: Column, pv: list[float]) -> tuple[Column,
         return F.when(F.abs(theta) >= 90, 0.0).otherwise(a * r / _cos(theta)), theta
     if code == "PCO":
         u, v = x / D, y / D
-
-        def pco(t: Column) -> Column:
-            f = u * u - 2 * (v - t) / F.tan(t) + (v - t) * (v - t)
-            df = 2 / F.tan(t) + 2 * (v - t) / F.pow(F.sin(t), F.lit(2.0)) - 2 * (v - t)
-            return F.least(F.greatest(t - f / df, F.lit(-math.pi / 2 + 1e-9)), F.lit(math.pi / 2 - 1e-9))
-
-        t = _newton(F.radians(y) * 0.9, pco, 2 * NEWTON)
+        t = _solved(_pco_theta, u, v)
         w = F.atan2(u * F.tan(t), 1 - (v - t) * F.tan(t))
         return F.when(F.abs(y) < 1e-12, x).otherwise(F.degrees(w / F.sin(t))), F.when(F.abs(y) < 1e-12, 0.0).otherwise(F.degrees(t))
     if code == "MOL":
@@ -268,6 +311,41 @@ def invert(matrix: list[list[float]]) -> list[list[float]]:
     return a[:, n:].tolist()
 
 
+#: Fixed by the format: the types of spectral axes.
+SPECTRAL = ("FREQ", "ENER", "WAVN", "VRAD", "WAVE", "VOPT", "ZOPT", "AWAV", "VELO", "BETA")
+#: Fixed by the format: keywords of an image, of a list of pixels in table columns, and of images in a column's cells.
+#: {i} and {j} are axes (or their columns), {m} a parameter, {n} the column, {a} the alternate description.
+_IMAGE = {"ctype": ["CTYPE{i}{a}"], "crpix": ["CRPIX{i}{a}"], "crval": ["CRVAL{i}{a}"], "cdelt": ["CDELT{i}{a}"], "crota": ["CROTA{i}"], "cunit": ["CUNIT{i}{a}"], "pc": ["PC{i}_{j}{a}"], "cd": ["CD{i}_{j}{a}"], "pv": ["PV{i}_{m}{a}"], "lonpole": ["LONPOLE{a}"], "latpole": ["LATPOLE{a}"]}
+_PIXEL_LIST = {"ctype": ["TCTYP{i}{a}"], "crpix": ["TCRPX{i}{a}"], "crval": ["TCRVL{i}{a}"], "cdelt": ["TCDLT{i}{a}"], "crota": ["TCROT{i}{a}"], "cunit": ["TCUNI{i}{a}"], "pc": ["TPC{i}_{j}{a}"], "cd": ["TCD{i}_{j}{a}"], "pv": ["TPV{i}_{m}{a}"], "lonpole": ["LONP{a}"], "latpole": ["LATP{a}"]}
+_ARRAY = {"ctype": ["{i}CTYP{n}{a}"], "crpix": ["{i}CRPX{n}{a}"], "crval": ["{i}CRVL{n}{a}"], "cdelt": ["{i}CDLT{n}{a}"], "crota": ["{i}CROT{n}{a}"], "cunit": ["{i}CUNI{n}{a}"], "pc": ["{i}{j}PC{n}{a}"], "cd": ["{i}{j}CD{n}{a}"], "pv": ["{i}PV{n}_{m}{a}", "{i}V{n}_{m}{a}"], "lonpole": ["LONPOLE{a}"], "latpole": ["LATPOLE{a}"]}
+
+
+@dataclass
+class Keywords:
+    """A header's coordinate keywords by what they mean; ``axes`` are the numbers that the family writes for each axis."""
+
+    header: Header
+    family: dict[str, list[str]]
+    axes: list[int]
+    column: int | None
+    alt: str
+
+    def _find(self, read, key: str, first: int | None, second: int | None, default):
+        i = None if first is None else self.axes[first]
+        j = self.axes[second] if second is not None and key in ("pc", "cd") else None
+        for form in self.family[key]:
+            v = read(form.format(i=i, j=j, m=second, n=self.column, a=self.alt))
+            if v is not None:
+                return v
+        return default
+
+    def real(self, key: str, first: int | None = None, second: int | None = None, default: float | None = None) -> float | None:
+        return self._find(self.header.real, key, first, second, default)
+
+    def text(self, key: str, first: int) -> str | None:
+        return self._find(self.header.text, key, first, None, None)
+
+
 @dataclass
 class Wcs:
     crpix: list[float]
@@ -284,25 +362,46 @@ class Wcs:
     @classmethod
     def from_header(cls, h: Header, alt: str = "") -> Wcs:
         n = h.integer(f"WCSAXES{alt}", h.integer("NAXIS", 0)) or 0
+        return cls._read(Keywords(h, _IMAGE, list(range(1, n + 1)), None, alt))
+
+    @classmethod
+    def from_pixel_list(cls, h: Header, columns: list[int], alt: str = "") -> Wcs:
+        """Of table columns (numbered from 1) whose rows are the places of events, in the order of the axes."""
+        return cls._read(Keywords(h, _PIXEL_LIST, list(columns), None, alt))
+
+    @classmethod
+    def from_array_column(cls, h: Header, column: int, alt: str = "") -> Wcs:
+        """Of a table column whose cells are images. The rank is WCAXn, or the highest axis up to 99 that a keyword names."""
+        n = h.integer(f"WCAX{column}{alt}", 0)
+        if n <= 0:
+            named = [i for i in range(1, 100) if h.text(f"{i}CTYP{column}{alt}") is not None or any(h.real(f"{i}{k}{column}{alt}") is not None for k in ("CRVL", "CDLT", "CRPX"))]
+            n = max(named, default=0)
+        if not n:
+            raise HduError("MissingKeyword", "iCTYPn")
+        if n > 999:
+            raise HduError("KeywordOutOfRange", "WCAXn")
+        return cls._read(Keywords(h, _ARRAY, list(range(1, n + 1)), column, alt))
+
+    @classmethod
+    def _read(cls, keys: Keywords) -> Wcs:
+        n = len(keys.axes)
         if not 1 <= n <= 999:
             raise HduError("KeywordOutOfRange", "WCSAXES")
-        r = lambda key, default: h.real(key + alt, default)
-        ctype = [h.text(f"CTYPE{i}{alt}") or "" for i in range(1, n + 1)]
-        crpix, crval = ([r(f"{k}{i}", 0.0) for i in range(1, n + 1)] for k in ("CRPIX", "CRVAL"))
-        cdelt = [r(f"CDELT{i}", 1.0) for i in range(1, n + 1)]
-        pairs = [(i, j) for i in range(1, n + 1) for j in range(1, n + 1)]
-        cd = {p: r(f"CD{p[0]}_{p[1]}", None) for p in pairs}
-        pc = {p: r(f"PC{p[0]}_{p[1]}", None) for p in pairs}
-        turned = [h.real(f"CROTA{i}") for i in range(1, n + 1)]
+        each, axes = range(n), [(i, j) for i in range(n) for j in range(n)]
+        ctype = [keys.text("ctype", i) or "" for i in each]
+        crpix, crval = ([keys.real(k, i, default=0.0) for i in each] for k in ("crpix", "crval"))
+        cdelt = [keys.real("cdelt", i, default=1.0) for i in each]
+        cd, pc = ({p: keys.real(k, *p) for p in axes} for k in ("cd", "pc"))
+        turned = [keys.real("crota", i) for i in each]
         has_cd, has_pc, has_rota = (any(v is not None for v in vs) for vs in (cd.values(), pc.values(), turned))
         if has_pc and (has_cd or has_rota):
             raise HduError("ConflictingWcsKeywords")
         out = cls(crpix, crval, [], ctype)
         out._find_pair()
         if has_cd:
-            m = [[cd[i, j] or 0.0 for j in range(1, n + 1)] for i in range(1, n + 1)]
+            m = [[cd[i, j] or 0.0 for j in each] for i in each]
         else:
-            m = [[cdelt[i - 1] * (pc[i, j] if pc[i, j] is not None else float(i == j)) for j in range(1, n + 1)] for i in range(1, n + 1)]
+            m = [[cdelt[i] * (pc[i, j] if pc[i, j] is not None else float(i == j)) for j in each] for i in each]
             if has_rota and not has_pc and out.lng is not None:
                 a, b = out.lng, out.lat
                 rho = math.radians(turned[b] or 0.0)
@@ -310,35 +409,35 @@ class Wcs:
                 m[b][a], m[b][b] = cdelt[a] * math.sin(rho), cdelt[b] * math.cos(rho)
         if out.lng is not None:
             for axis in (out.lng, out.lat):
-                unit = DEGREES.get((h.text(f"CUNIT{axis + 1}{alt}") or "deg").strip(), 1.0)
+                unit = DEGREES.get((keys.text("cunit", axis) or "deg").strip(), 1.0)
                 m[axis] = [v * unit for v in m[axis]]
                 crval[axis] *= unit
         out.matrix = m
         if out.lng is not None:
-            out._set_pole(h, alt)
+            out._set_pole(keys)
         return out
 
     def _find_pair(self) -> None:
         lng = lat = None
         for i, c in enumerate(self.ctype):
-            head, code = c[:4].rstrip("-"), c[5:8]
-            if len(c) < 8 or c[4] != "-":
-                continue
-            if code not in ZENITHAL + CONIC + OTHERS:
+            head, code = c.partition("-")[0].rstrip(), c.rpartition("-")[2].strip() if "-" in c else ""
+            east, north = head == "RA" or head[1:] == "LON" or head[2:] == "LN", head == "DEC" or head[1:] == "LAT" or head[2:] == "LT"
+            if east or north:
+                if len(code) == 3 and code not in ZENITHAL + CONIC + OTHERS:
+                    self.unsupported.append(i)
+                elif code in ZENITHAL + CONIC + OTHERS:
+                    lng, lat = (i, lat) if east else (lng, i)
+            elif head in SPECTRAL and c[5:].strip():
                 self.unsupported.append(i)
-            elif head == "RA" or head[1:] == "LON" or head[2:] == "LN":
-                lng = i
-            elif head == "DEC" or head[1:] == "LAT" or head[2:] == "LT":
-                lat = i
         if lng is None or lat is None:
             return
-        if self.ctype[lng][5:8] != self.ctype[lat][5:8]:
+        if self.ctype[lng].rpartition("-")[2].strip() != self.ctype[lat].rpartition("-")[2].strip():
             raise HduError("InvalidValue", "the axes of a pair name different projections")
-        self.lng, self.lat, self.code = lng, lat, self.ctype[lng][5:8]
+        self.lng, self.lat, self.code = lng, lat, self.ctype[lng].rpartition("-")[2].strip()
 
-    def _set_pole(self, h: Header, alt: str) -> None:
-        a, b = self.lng + 1, self.lat + 1
-        given = [h.real(f"PV{b}_{m}{alt}") for m in range(21)]
+    def _set_pole(self, keys: Keywords) -> None:
+        a, b = self.lng, self.lat
+        given = [keys.real("pv", b, m) for m in range(21)]
         last = max((m for m, v in enumerate(given) if v is not None), default=-1)
         self.pv = [v or 0.0 for v in given[: last + 1]]
         if self.code in CONIC and not _pv(self.pv, 1):
@@ -346,11 +445,11 @@ class Wcs:
             self.lng = self.lat = self.code = None
             return
         theta0 = 90.0 if self.code in ZENITHAL else _pv(self.pv, 1) if self.code in CONIC else 0.0
-        phi0 = h.real(f"PV{a}_1{alt}", 0.0)
-        theta0 = h.real(f"PV{a}_2{alt}", theta0)
+        phi0 = keys.real("pv", a, 1, default=0.0)
+        theta0 = keys.real("pv", a, 2, default=theta0)
         alpha0, delta0 = self.crval[self.lng], self.crval[self.lat]
-        phip = h.real(f"PV{a}_3{alt}", h.real(f"LONPOLE{alt}", phi0 if delta0 >= theta0 else phi0 + 180.0))
-        latpole = h.real(f"PV{a}_4{alt}", h.real(f"LATPOLE{alt}", 90.0))
+        phip = keys.real("pv", a, 3, default=keys.real("lonpole", default=phi0 if delta0 >= theta0 else phi0 + 180.0))
+        latpole = keys.real("pv", a, 4, default=keys.real("latpole", default=90.0))
         self.pole = pole_of(alpha0, delta0, phi0, theta0, phip, latpole)
 
     @property

@@ -88,10 +88,10 @@ def parse_card(raw: bytes) -> Card:
     if keyword == "CONTINUE":
         value, comment = split_comment(text[8:])
         return Card(keyword, parse_value(value) if value.startswith("'") else None, comment if value.startswith("'") else text[8:].strip())
-    if text[8:10] == "= ":
+    if text[8:9] == "=":
         if not _KEY.match(keyword):
             raise HduError("InvalidKeyword", keyword)
-        value, comment = split_comment(text[10:])
+        value, comment = split_comment(text[9:])
         return Card(keyword, parse_value(value), comment)
     return Card(keyword, None, text[8:].rstrip())
 

@@ -32,7 +32,7 @@ def kind_of(h: Header, first: bool) -> str:
         return "CompressedTable" if h.logical("ZTABLE") else "BinTable"
     if x:
         return "Other"
-    if h.logical("GROUPS") and (h.integer("NAXIS") or 0) > 0 and h.integer("NAXIS1") == 0:
+    if h.logical("GROUPS") and (h.integer("NAXIS") or 0) > 0:
         return "RandomGroups"
     return "Primary"
 
@@ -65,10 +65,14 @@ class Hdu:
     header_offset: int
     data_offset: int
     data_bytes: int
+    truncated: bool = False  # the file ends within the data unit
 
 
 def scan(f, size: int) -> list[Hdu]:
-    """All HDUs of an open file. Only headers are read; what trails the last HDU is ignored."""
+    """All HDUs of an open file. Only headers are read; what trails the last HDU is ignored.
+
+    A data unit that the file is too short for is listed as truncated; reading it fails.
+    """
     out: list[Hdu] = []
     at = 0
     while at < size:
@@ -93,9 +97,7 @@ def scan(f, size: int) -> list[Hdu]:
             break
         h = Header.parse(raw)
         n, offset = data_bytes(h), at + len(raw)
-        if offset + n > size:
-            raise HduError("UnexpectedEof")
-        out.append(Hdu(len(out), h, kind_of(h, not out), at, offset, n))
+        out.append(Hdu(len(out), h, kind_of(h, not out), at, offset, n, offset + n > size))
         at = min(size, offset + padded(n))
     return out
 

@@ -1,8 +1,12 @@
-"""Spark data sources over the files: ``hdu_catalog``, ``hdu_cards``, ``hdu_image``, ``hdu_table``, ``hdu_groups``.
+"""Spark data sources over the files: ``hdu_catalog``, ``hdu_cards``, ``hdu_image``, ``hdu_table``, ``hdu_groups``, ``hdu_data``, ``hdu_checksums``.
 
-Options: ``path`` (a file, folder or glob that driver and executors see), ``hdu`` (index) or ``extname``
-and ``extver``, and ``rows`` (rows or pixels of a partition). A partition is a byte range of one HDU: it is
-opened, sought and read on the executor, so no file is read whole anywhere.
+Options: ``path`` (a file, folder or glob that driver and executors see, or the URI of a file system that Arrow
+knows), ``hdu`` (index) or ``extname`` and ``extver``, and ``rows`` (rows or pixels of a partition).
+``physical`` turns stored values into physical ones, ``unsigned`` into exact unsigned ones where the zero says so.
+
+A partition is a byte range of one HDU: it is opened, sought and read on the executor, so no file is read whole
+anywhere. Of up to ``PLANNED`` files the driver reads the headers to cut them; of more it reads the first one's alone (for the
+schema), and each file is a partition whose headers its executor reads.
 """
 
 from __future__ import annotations
@@ -18,22 +22,59 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hdulake.errors import HduError
+from hdulake.functions.checksum import ones_sum
 from hdulake.functions.codecs import decode_tile, dequantize
-from hdulake.sources.layout import BITPIX, ELEMENTS, Hdu, TableColumn, ascii_columns, bin_columns, scan
+from hdulake.sources.layout import BITPIX, ELEMENTS, Hdu, TableColumn, ascii_columns, bin_columns, padded, scan
+from hdulake.sources.tiles import expand_rows, plain_header
 
 ROWS = 1 << 18
+#: Files whose headers the driver reads to cut them into partitions.
+PLANNED = 64
+#: Bytes of a data unit that are read at a time.
+CHUNK = 2880 << 10
+
+
+def _remote(path: str):
+    """The file system and path within it of a URI; None for local paths."""
+    if "://" not in path:
+        return None
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
 
 
 def files_of(path: str) -> list[str]:
     path = path.removeprefix("file://")
+    suffixes = (".fits", ".fit", ".fts")
+    if (there := _remote(path)) is not None:
+        from pyarrow import fs
+
+        system, inner = there
+        if system.get_file_info(inner).type != fs.FileType.Directory:
+            return [path]
+        base = path[: len(path) - len(inner)] if path.endswith(inner) else path[: path.index("://") + 3]
+        return sorted(base + f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.path.lower().endswith(suffixes))
     if os.path.isdir(path):
-        return sorted(p for p in glob.glob(f"{path}/**/*", recursive=True) if p.lower().endswith((".fits", ".fit", ".fts")))
+        return sorted(p for p in glob.glob(f"{path}/**/*", recursive=True) if p.lower().endswith(suffixes))
     return sorted(glob.glob(path)) or [path]
 
 
+def open_file(path: str):
+    """The file, open for reading and seeking."""
+    there = _remote(path)
+    return open(path, "rb") if there is None else there[0].open_input_file(there[1])
+
+
 def hdus_of(path: str) -> list[Hdu]:
-    with open(path, "rb") as f:
-        return scan(f, os.path.getsize(path))
+    with open_file(path) as f:
+        size = f.seek(0, os.SEEK_END)
+        return scan(f, size if size is not None else f.tell())
+
+
+def whole(h: Hdu) -> Hdu:
+    if h.truncated:
+        raise HduError("UnexpectedEof")
+    return h
 
 
 def extname_of(h: Hdu) -> str | None:
@@ -76,6 +117,31 @@ class _Source(DataSource):
             raise HduError(f"NotA{self.kinds[0]}", found.kind)
         return found
 
+    def asks(self, option: str) -> bool:
+        return self.options.get(option, "false").lower() == "true"
+
+
+class _Pieces(DataSourceReader):
+    """Partitions of one chosen HDU of each file: ``cut`` says where, ``batches`` reads one."""
+
+    def __init__(self, source: _Source):
+        self.source = source
+
+    def partitions(self):
+        files = self.source.files
+        if len(files) > PLANNED:
+            return [Piece(path) for path in files]
+        return [p for path in files for p in self.pieces(path)]
+
+    def pieces(self, path: str) -> list[Piece]:
+        h = whole(self.source.pick(path))
+        n, step = self.cut(h)
+        return [Piece(path, h, at, min(n, at + step)) for at in range(0, n, max(1, step))]
+
+    def read(self, p: Piece) -> Iterator:
+        for piece in [p] if p.hdu else self.pieces(p.path):
+            yield from self.batches(piece)
+
 
 CATALOG = "path string, hdu int, kind string, extname string, extver long, naxis int, axes array<long>, bitpix int, header_offset long, data_offset long, data_bytes long"
 CARDS = "path string, hdu int, card_index int, keyword string, type string, b boolean, i long, r double, s string, re double, im double, comment string"
@@ -133,7 +199,7 @@ class _PerFile(DataSourceReader):
 
 
 class ImageSource(_Source):
-    """Pixels: path, flat (first axis fastest) and raw, the stored value. Compressed images give theirs by tile."""
+    """Pixels: path, flat (first axis fastest), raw, the stored value, and with ``physical`` value. Compressed images give theirs by tile."""
 
     kinds = ("Image", "Primary", "CompressedImage")
 
@@ -145,42 +211,51 @@ class ImageSource(_Source):
         h = self.pick(self.files[0])
         key = "ZBITPIX" if h.kind == "CompressedImage" else "BITPIX"
         kind = {8: "short", 16: "short", 32: "int", 64: "long", -32: "float", -64: "double"}[h.header.need(key)]
-        return f"path string, flat long, raw {kind}"
+        return f"path string, flat long, raw {kind}" + (", value double" if self.asks("physical") else "")
 
     def reader(self, schema) -> DataSourceReader:
-        return _ImageReader([(p, self.pick(p)) for p in self.files], int(self.options.get("rows", ROWS)), schema)
+        return _ImageReader(self, int(self.options.get("rows", ROWS)), schema)
+
+
+def physical_values(raw: np.ndarray, scale: float, zero: float, null: int | None) -> np.ndarray:
+    """zero + scale * raw as doubles; the integer ``null`` gives NaN."""
+    out = zero + scale * np.asarray(raw, dtype=np.float64)
+    if null is not None and np.asarray(raw).dtype.kind in "iu":
+        out[np.asarray(raw) == null] = np.nan
+    return out
 
 
 def tile_shapes(h: Hdu) -> tuple[list[int], list[int]]:
     axes = [h.header.need(f"ZNAXIS{i + 1}") for i in range(h.header.need("ZNAXIS"))]
-    return axes, [h.header.integer(f"ZTILE{i + 1}", axes[i] if i == 0 else 1) for i in range(len(axes))]
+    return axes, [max(1, h.header.integer(f"ZTILE{i + 1}", axes[i] if i == 0 else 1)) for i in range(len(axes))]
+
 
+class _ImageReader(_Pieces):
+    def __init__(self, source: ImageSource, rows: int, schema: T.StructType):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-class _ImageReader(DataSourceReader):
-    def __init__(self, images: list[tuple[str, Hdu]], rows: int, schema: T.StructType):
-        self.images, self.rows = images, rows
-        self.arrow = pa.schema([("path", pa.string()), ("flat", pa.int64()), ("raw", {"short": pa.int16(), "integer": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64()}[schema["raw"].dataType.typeName()])])
+        super().__init__(source)
+        self.rows, self.arrow = rows, to_arrow_schema(schema)
 
-    def partitions(self):
-        out = []
-        for path, h in self.images:
-            if h.kind == "CompressedImage":
-                n, step = h.header.need("NAXIS2"), max(1, self.rows >> 16)
-            else:
-                if h.header.integer("PCOUNT", 0) or h.header.integer("GCOUNT", 1) != 1:
-                    raise HduError("ImageHasGroups")
-                n, step = int(np.prod(h.header.axes(), dtype=object)) if h.header.axes() else 0, self.rows
-            out += [Piece(path, h, at, min(n, at + step)) for at in range(0, n, step)]
-        return out
+    def cut(self, h: Hdu) -> tuple[int, int]:
+        if h.kind == "CompressedImage":
+            return h.header.need("NAXIS2"), max(1, self.rows >> 16)
+        if h.header.integer("PCOUNT", 0) or h.header.integer("GCOUNT", 1) != 1:
+            raise HduError("ImageHasGroups")
+        return int(np.prod(h.header.axes(), dtype=object)) if h.header.axes() else 0, self.rows
 
-    def read(self, p: Piece) -> Iterator[pa.RecordBatch]:
-        parts = self.tiles(p) if p.hdu.kind == "CompressedImage" else [self.plain(p)]
-        for flat, raw in parts:
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(p.path), len(flat)), pa.array(flat), pa.array(raw).cast(self.arrow.field("raw").type)], schema=self.arrow)
+    def batches(self, p: Piece) -> Iterator[pa.RecordBatch]:
+        h = p.hdu.header
+        scale, zero, blank = h.real("BSCALE", 1.0), h.real("BZERO", 0.0), h.integer("BLANK")
+        for flat, raw in self.tiles(p) if p.hdu.kind == "CompressedImage" else [self.plain(p)]:
+            arrays = [pa.repeat(pa.scalar(p.path), len(flat)), pa.array(flat), pa.array(raw).cast(self.arrow.field("raw").type)]
+            if len(self.arrow) > 3:
+                arrays.append(pa.array(physical_values(raw, scale, zero, blank)))
+            yield pa.RecordBatch.from_arrays(arrays, schema=self.arrow)
 
     def plain(self, p: Piece) -> tuple[np.ndarray, np.ndarray]:
         kind = np.dtype(BITPIX[p.hdu.header.need("BITPIX")])
-        with open(p.path, "rb") as f:
+        with open_file(p.path) as f:
             f.seek(p.hdu.data_offset + p.first * kind.itemsize)
             raw = np.frombuffer(f.read((p.last - p.first) * kind.itemsize), dtype=kind)
         return np.arange(p.first, p.last), raw.astype(kind.newbyteorder("="))
@@ -206,7 +281,7 @@ class _ImageReader(DataSourceReader):
                 raw = dequantize(raw, float(cell["ZSCALE"]), float(cell["ZZERO"]), h.text("ZQUANTIZ") or "NO_DITHER", number + h.integer("ZDITHER0", 1), cell.get("ZBLANK", h.integer("ZBLANK"))).astype(np.float32 if bitpix == -32 else np.float64)
             stride, flat = 1, np.zeros(1, dtype=np.int64)
             for o, d, a in zip(low, dims, axes, strict=True):
-                flat = (flat[None, :] + ((o + np.arange(d)) * stride)[:, None]).ravel() if stride == 1 else (flat[None, :] + ((o + np.arange(d)) * stride)[:, None]).ravel()
+                flat = (flat[None, :] + ((o + np.arange(d)) * stride)[:, None]).ravel()
                 stride *= a
             yield flat, raw
 
@@ -218,7 +293,7 @@ def read_rows(path: str, h: Hdu, columns: list[TableColumn], first: int, last: i
     if heap < width * h.header.need("NAXIS2"):
         raise HduError("KeywordOutOfRange", "THEAP")
     out: dict[str, object] = {}
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         f.seek(h.data_offset + first * width)
         rows = np.frombuffer(f.read((last - first) * width), dtype=np.uint8).reshape(-1, width)
         for c in columns:
@@ -268,57 +343,138 @@ def spark_type(c: TableColumn) -> T.DataType:
     return kind if letter == "A" or (not c.element and c.repeat == 1 and letter != "X") else T.ArrayType(kind)
 
 
+#: Fixed by the format: the zero that makes a column's integers unsigned (bytes: signed), by its letter.
+_ZEROS = {"B": -128.0, "I": float(1 << 15), "J": float(1 << 31), "K": float(1 << 63)}
+_EXACT = {"B": T.ShortType(), "I": T.IntegerType(), "J": T.LongType(), "K": T.DecimalType(20, 0)}
+
+
+class _View:
+    """How a column's stored values are to be shown: as stored, exact unsigned, or physical (doubles, NaN for nulls)."""
+
+    def __init__(self, c: TableColumn, physical: bool, unsigned: bool, plain: bool):
+        letter = c.element or c.letter
+        self.column, self.plain = c, plain
+        self.unsigned = unsigned and not plain and letter in _ZEROS and c.scale == 1.0 and c.zero == _ZEROS[letter] and c.null is None
+        self.physical = physical and not self.unsigned and (letter in "IFED" if plain else letter in "BIJKEDCM")
+
+    def type(self) -> T.DataType:
+        c = self.column
+        if self.plain:
+            return T.StringType() if c.letter == "A" else T.DoubleType() if self.physical or c.letter != "I" else T.LongType()
+        kind = spark_type(c)
+        if not (self.unsigned or self.physical):
+            return kind
+        letter = c.element or c.letter
+        one = _EXACT[letter] if self.unsigned else _complex(False) if letter in "CM" else T.DoubleType()
+        return T.ArrayType(one) if isinstance(kind, T.ArrayType) else one
+
+    def of(self, cells):
+        """The column's cells, as stored, in this view."""
+        if self.plain or not (self.unsigned or self.physical):
+            return cells
+        return self._values(cells) if isinstance(cells, np.ndarray) else [self._values(r) for r in cells]
+
+    def _values(self, raw: np.ndarray) -> np.ndarray:
+        c = self.column
+        if self.physical:
+            if raw.dtype.kind == "c":
+                return (c.zero + c.scale * raw.real) + 1j * (c.zero + c.scale * raw.imag)
+            return physical_values(raw, c.scale, c.zero, c.null)
+        if (c.element or c.letter) == "K":
+            return raw.astype(object) + (1 << 63)
+        return raw.astype(np.int64) + int(c.zero)
+
+
 class TableSource(_Source):
-    """Rows of a binary or ASCII table, as stored; scales, units and nulls are in the fields' metadata."""
+    """Rows of a binary, ASCII or compressed table; scales, units and nulls are in the fields' metadata.
 
-    kinds = ("BinTable", "AsciiTable", "CompressedImage", "CompressedTable")
+    Values are as stored unless ``physical`` or ``unsigned`` is asked for. A null text, logical or array comes back as
+    the file has it: empty, undefined, empty. Files of one load have their columns matched by name. With ``container`` a
+    compressed table gives the rows of its tiles as stored.
+    """
+
+    kinds = ("BinTable", "AsciiTable", "CompressedTable", "CompressedImage")
 
     @classmethod
     def name(cls) -> str:
         return "hdu_table"
 
-    def columns(self, h: Hdu) -> list[TableColumn]:
-        found = ascii_columns(h.header) if h.kind == "AsciiTable" else bin_columns(h.header)
+    def all_columns(self, h: Hdu) -> list[TableColumn]:
+        if h.kind == "AsciiTable":
+            return ascii_columns(h.header)
+        return bin_columns(plain_header(h.header) if self.expands(h) else h.header)
+
+    def expands(self, h: Hdu) -> bool:
+        return h.kind == "CompressedTable" and not self.asks("container")
+
+    def views(self, h: Hdu) -> list[_View]:
+        found = self.all_columns(h)
         if "columns" in self.options:
             asked = [x.strip().lower() for x in self.options["columns"].split(",")]
             missing = set(asked) - {c.name.lower() for c in found}
             if missing:
                 raise HduError("ColumnNotFound", ", ".join(sorted(missing)))
             found = [c for c in found if c.name.lower() in asked]
-        return found
+        return [_View(c, self.asks("physical"), self.asks("unsigned"), h.kind == "AsciiTable") for c in found]
 
     def schema(self) -> T.StructType:
-        h = self.pick(self.files[0])
         fields = []
-        for c in self.columns(h):
-            kind = {"A": T.StringType(), "I": T.LongType()}.get(c.letter, T.DoubleType()) if h.kind == "AsciiTable" else spark_type(c)
+        for v in self.views(self.pick(self.files[0])):
+            c = v.column
             about = {"unit": c.unit, "tscal": c.scale, "tzero": c.zero, "tnull": c.null, "tdim": c.dims, "tform": c.form, "tdisp": c.display}
-            fields.append(T.StructField(c.name, kind, True, {k: v for k, v in about.items() if v is not None}))
+            fields.append(T.StructField(c.name, v.type(), True, {k: x for k, x in about.items() if x is not None}))
         return T.StructType(fields)
 
     def reader(self, schema) -> DataSourceReader:
-        chosen = [(p, self.pick(p)) for p in self.files]
-        return _TableReader([(p, h, self.columns(h)) for p, h in chosen], int(self.options.get("rows", ROWS)), schema)
+        return _TableReader(self, int(self.options.get("rows", ROWS)), schema)
 
 
-class _TableReader(DataSourceReader):
-    def __init__(self, tables, rows: int, schema: T.StructType):
+class _TableReader(_Pieces):
+    def __init__(self, source: TableSource, rows: int, schema: T.StructType):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        self.tables, self.rows, self.arrow = {p: (h, c) for p, h, c in tables}, rows, to_arrow_schema(schema)
-
-    def partitions(self):
-        out = []
-        for path, (h, _) in self.tables.items():
-            n = h.header.need("NAXIS2")
-            out += [Piece(path, h, at, min(n, at + self.rows)) for at in range(0, n, self.rows)]
-        return out
-
-    def read(self, p: Piece) -> Iterator[pa.RecordBatch]:
-        h, columns = self.tables[p.path]
-        cells = read_ascii(p.path, h, columns, p.first, p.last) if h.kind == "AsciiTable" else read_rows(p.path, h, columns, p.first, p.last)
-        arrays = [_arrow(cells[c.name], c, self.arrow.field(i).type, h.kind == "AsciiTable") for i, c in enumerate(columns)]
-        yield pa.RecordBatch.from_arrays(arrays, schema=self.arrow)
+        super().__init__(source)
+        self.rows, self.spark, self.arrow = rows, schema, to_arrow_schema(schema)
+
+    def cut(self, h: Hdu) -> tuple[int, int]:
+        n = h.header.need("NAXIS2")
+        return (n, max(1, self.rows // max(1, h.header.need("ZTILELEN")))) if self.source.expands(h) else (n, self.rows)
+
+    def batches(self, p: Piece) -> Iterator[pa.RecordBatch]:
+        """The schema's columns, which another file may have in another order."""
+        own = {v.column.name.lower(): v for v in self.source.views(p.hdu)}
+        views = []
+        for f in self.spark.fields:
+            v = own.get(f.name.lower())
+            if v is None:
+                raise HduError("ColumnNotFound", f"{f.name} in {p.path}")
+            if v.type() != f.dataType:
+                raise HduError("UnsupportedColumn", f"{f.name} is {v.type().simpleString()} in {p.path}, {f.dataType.simpleString()} in the first file")
+            views.append(v)
+        columns = [v.column for v in views]
+        if p.hdu.kind == "AsciiTable":
+            parts = [read_ascii(p.path, p.hdu, columns, p.first, p.last, any(v.physical for v in views))]
+        elif self.source.expands(p.hdu):
+            parts = read_tiles(p.path, p.hdu, columns, p.first, p.last)
+        else:
+            parts = [read_rows(p.path, p.hdu, columns, p.first, p.last)]
+        for cells in parts:
+            yield pa.RecordBatch.from_arrays([_arrow(v.of(cells[v.column.name]), v.column, self.arrow.field(i).type, v.plain) for i, v in enumerate(views)], schema=self.arrow)
+
+
+def read_tiles(path: str, h: Hdu, columns: list[TableColumn], first: int, last: int) -> Iterator[dict[str, object]]:
+    """The rows of the tiles first..last-1 of a compressed table, a tile at a time."""
+    stored, table, n = bin_columns(h.header), bin_columns(plain_header(h.header)), h.header.need("ZNAXIS2")
+    length, places = h.header.need("ZTILELEN"), [next(i for i, c in enumerate(table) if c.name == asked.name) for asked in columns]
+    for t in range(first, last):
+        found = read_rows(path, h, [stored[i] for i in places], t, t + 1)
+        cells = {i: np.asarray(found[stored[i].name][0]).astype(np.uint8).tobytes() for i in places}
+        rows = max(0, min(length, n - t * length))
+        raw, at, out = expand_rows(cells, columns, places, h.header, rows), 0, {}
+        for c in columns:
+            out[c.name] = _cells(np.ascontiguousarray(raw[:, at : at + c.width]), c.letter, c.repeat)
+            at += c.width
+        yield out
 
 
 def _arrow(cells, c: TableColumn, kind: pa.DataType, plain: bool) -> pa.Array:
@@ -347,10 +503,10 @@ def fortran_real(text: str, decimals: int) -> float:
     return value * 10.0 ** int(m[5] or 0)
 
 
-def read_ascii(path: str, h: Hdu, columns: list[TableColumn], first: int, last: int) -> dict[str, list]:
-    """Raw values: a blank or null number is 0."""
+def read_ascii(path: str, h: Hdu, columns: list[TableColumn], first: int, last: int, physical: bool = False) -> dict[str, list]:
+    """Raw values, where a blank or null number is 0; or physical ones, where a null is NaN and a blank one 0."""
     width = h.header.need("NAXIS1")
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         f.seek(h.data_offset + first * width)
         data = f.read((last - first) * width)
     out: dict[str, list] = {}
@@ -359,6 +515,10 @@ def read_ascii(path: str, h: Hdu, columns: list[TableColumn], first: int, last:
         if c.letter == "A":
             out[c.name] = [x.rstrip(" ") for x in fields]
             continue
+        if physical:
+            null = None if c.null is None else c.null.strip()
+            out[c.name] = [float("nan") if x.strip() == null else c.zero + c.scale * (fortran_real(x.strip(), c.decimals) if x.strip() else 0.0) for x in fields]
+            continue
         blank = {"", (c.null or "").strip()}
         read = int if c.letter == "I" else lambda x, d=c.decimals: fortran_real(x, d)
         out[c.name] = [0 if x.strip() in blank else read(x.strip()) for x in fields]
@@ -378,24 +538,25 @@ class GroupsSource(_Source):
         return "path string, group long, param_names array<string>, params array<double>, data array<double>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _GroupsReader([(p, self.pick(p)) for p in self.files], int(self.options.get("rows", 4096)))
+        return _GroupsReader(self, int(self.options.get("rows", 4096)))
 
 
-class _GroupsReader(DataSourceReader):
-    def __init__(self, found, rows: int):
-        self.found, self.rows = found, rows
+class _GroupsReader(_Pieces):
+    def __init__(self, source: GroupsSource, rows: int):
+        super().__init__(source)
+        self.rows = rows
 
-    def partitions(self):
-        return [Piece(p, h, at, min(h.header.integer("GCOUNT", 1), at + self.rows)) for p, h in self.found for at in range(0, h.header.integer("GCOUNT", 1), self.rows)]
+    def cut(self, h: Hdu) -> tuple[int, int]:
+        return h.header.integer("GCOUNT", 1), self.rows
 
-    def read(self, p: Piece) -> Iterator[tuple]:
+    def batches(self, p: Piece) -> Iterator[tuple]:
         h = p.hdu.header
         kind, n_params = np.dtype(BITPIX[h.need("BITPIX")]), h.integer("PCOUNT", 0)
         n = int(np.prod(h.axes()[1:], dtype=np.int64)) if len(h.axes()) > 1 else 1
         names = [h.text(f"PTYPE{i + 1}", "") for i in range(n_params)]
         scale = np.array([h.real(f"PSCAL{i + 1}", 1.0) for i in range(n_params)])
         zero = np.array([h.real(f"PZERO{i + 1}", 0.0) for i in range(n_params)])
-        with open(p.path, "rb") as f:
+        with open_file(p.path) as f:
             f.seek(p.hdu.data_offset + p.first * (n_params + n) * kind.itemsize)
             raw = np.frombuffer(f.read((p.last - p.first) * (n_params + n) * kind.itemsize), dtype=kind).astype(np.float64).reshape(-1, n_params + n)
         for k, row in enumerate(raw):
@@ -403,7 +564,64 @@ class _GroupsReader(DataSourceReader):
             yield p.path, p.first + k, names, (zero + scale * row[:n_params]).tolist(), data.tolist()
 
 
+class DataUnits(CatalogSource):
+    """The bytes of all data units, without fill, in chunks: path, hdu, offset (within the unit) and bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "hdu_data"
+
+    def schema(self) -> str:
+        return "path string, hdu int, offset long, bytes binary"
+
+    @staticmethod
+    def rows(path: str) -> Iterator[tuple]:
+        with open_file(path) as f:
+            for h in hdus_of(path):
+                whole(h)
+                for at in range(0, h.data_bytes, CHUNK):
+                    f.seek(h.data_offset + at)
+                    yield path, h.index, at, f.read(min(CHUNK, h.data_bytes - at))
+
+
+class ChecksumSource(CatalogSource):
+    """What each HDU's checksums say: path, hdu, data_sum, hdu_sum, datasum_ok and checksum_ok (null without the keyword).
+
+    A sum adds up over chunks, so no unit is held whole.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "hdu_checksums"
+
+    def schema(self) -> str:
+        return "path string, hdu int, data_sum long, hdu_sum long, datasum_ok boolean, checksum_ok boolean"
+
+    @staticmethod
+    def rows(path: str) -> Iterator[tuple]:
+        with open_file(path) as f:
+            for h in hdus_of(path):
+                whole(h)
+
+                def total(begin: int, size: int, seed: int = 0) -> int:
+                    for at in range(0, size, CHUNK):
+                        f.seek(begin + at)
+                        seed = ones_sum(f.read(min(CHUNK, size - at)), seed)
+                    return seed
+
+                data = total(h.data_offset, padded(h.data_bytes))
+                both = total(h.header_offset, h.data_offset - h.header_offset, data)
+                said = h.header.text("DATASUM")
+                stated = int(said) if said is not None and said.strip().isdigit() and int(said) < 1 << 32 else None
+                yield path, h.index, data, both, None if said is None else stated == data, None if h.header.text("CHECKSUM") is None else both == 0xFFFFFFFF
+
+
+def image_hdus(catalog):
+    """The rows of a catalog that hold an image."""
+    return catalog.filter("kind in ('Image', 'CompressedImage') or kind = 'Primary' and naxis > 0")
+
+
 def register(spark: SparkSession) -> None:
     """Make all sources known to the session."""
-    for source in (CatalogSource, CardsSource, ImageSource, TableSource, GroupsSource):
+    for source in (CatalogSource, CardsSource, ImageSource, TableSource, GroupsSource, DataUnits, ChecksumSource):
         spark.dataSource.register(source)
