@@ -37,6 +37,30 @@ def unsigned(raw: Column, stored: str) -> Column:
     return raw.cast("long" if stored == "int" else "int") + F.lit(UNSIGNED_ZERO[stored])
 
 
+def stored_unsigned(value: Column, stored: str) -> Column:
+    """The stored values of unsigned ones (of signed ones for bytes): what ``unsigned`` gives back."""
+    wide = "decimal(20,0)" if stored == "long" else "long"
+    return (value.cast(wide) - F.lit(str(UNSIGNED_ZERO[stored])).cast(wide)).cast("short" if stored == "byte" else stored)
+
+
+def scaling_of(header) -> tuple[float, float, int | None]:
+    """BSCALE, BZERO and BLANK of a header."""
+    return header.real("BSCALE", 1.0), header.real("BZERO", 0.0), header.integer("BLANK")
+
+
+#: Fixed by the format: the sample types of BITPIX, and those that the unsigned zero makes of them.
+_SAMPLES = {8: ("u8", "i8"), 16: ("i16", "u16"), 32: ("i32", "u32"), 64: ("i64", "u64"), -32: ("f32", "f32"), -64: ("f64", "f64")}
+
+
+def sample_type(bitpix: int, scale: float, zero: float) -> str:
+    """The type of an image's samples: exact where scale and zero are those of a convention, else f64."""
+    stored, shifted = _SAMPLES[bitpix]
+    if (scale, zero) == (1.0, 0.0):
+        return stored
+    conventional = UNSIGNED_ZERO.get({8: "byte", 16: "short", 32: "int", 64: "long"}.get(bitpix, ""))
+    return shifted if scale == 1.0 and zero == conventional else "f64"
+
+
 def is_exact_unsigned(stored: str, scale: float, zero: float, blank: int | None) -> bool:
     return scale == 1 and blank is None and zero == UNSIGNED_ZERO.get(stored)
 

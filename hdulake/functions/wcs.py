@@ -38,7 +38,7 @@ def _cos(x):
 
 def _clip(x: Column) -> Column:
     """x between -1 and 1; NaN, which Spark orders above all numbers, stays NaN."""
-    return F.when(x > 1.0, F.when(F.isnan(x), x).otherwise(1.0)).when(x < -1.0, -1.0).otherwise(x)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) + F.lit(0.0) * x
 
 
 def _newton(start: np.ndarray, step: Callable[[np.ndarray], np.ndarray], low: float = -np.inf, high: float = np.inf) -> np.ndarray:
@@ -218,11 +218,18 @@ def deproject(code: str, x: Column, y: Column, pv: list[float]) -> tuple[Column,
         r = F.sqrt(x * x + y * y * math.cos(gamma) ** 2)
         phi = F.degrees(F.atan2(x, -y * math.cos(gamma)))
         rho = r / (D * (mu + 1) + y * math.sin(gamma))
-        psi, w = F.degrees(F.atan2(F.lit(1.0), rho)), F.degrees(F.asin(_clip(rho * mu / F.sqrt(rho * rho + 1))))
-        one, two = psi - w, psi + w + 180
-        two = F.when(two > 180, two - 360).otherwise(two)
-        best = F.when(F.abs(one - 90) <= F.abs(two - 90), one).otherwise(two)
-        return phi, F.when(one.between(-90, 90) & ~two.between(-90, 90), one).when(two.between(-90, 90) & ~one.between(-90, 90), two).otherwise(best)
+
+        def latitude(p: Column) -> Column:
+            one, two = p["one"], F.when(p["two"] > 180, p["two"] - 360).otherwise(p["two"])
+            best = F.when(F.abs(one - 90) <= F.abs(two - 90), one).otherwise(two)
+            return F.when(one.between(-90, 90) & ~two.between(-90, 90), one).when(two.between(-90, 90) & ~one.between(-90, 90), two).otherwise(best)
+
+        def candidates(p: Column) -> Column:
+            psi, w = F.degrees(F.atan2(F.lit(1.0), p)), F.degrees(F.asin(_clip(p * mu / F.sqrt(p * p + 1))))
+            return F.struct((psi - w).alias("one"), (psi + w + 180).alias("two"))
+
+        # both solutions are bound, so the choice between them doesn't repeat what they are made of
+        return phi, F.get(F.transform(F.transform(F.array(rho), candidates), latitude), F.lit(0))
     if code == "SZP":
         xp, yp, zp = _szp(pv)
         u, v = x / D, y / D

@@ -14,6 +14,7 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -278,7 +279,8 @@ class _ImageReader(_Pieces):
             cell = {n: v[k] for n, v in table.items()}
             raw = decode_tile(cell, h.text("ZCMPTYPE") or "", bitpix, int(np.prod(dims)), dims, parameters)
             if bitpix < 0 and "ZSCALE" in cell and len(cell.get("COMPRESSED_DATA", [])):
-                raw = dequantize(raw, float(cell["ZSCALE"]), float(cell["ZZERO"]), h.text("ZQUANTIZ") or "NO_DITHER", number + h.integer("ZDITHER0", 1), cell.get("ZBLANK", h.integer("ZBLANK"))).astype(np.float32 if bitpix == -32 else np.float64)
+                blank = cell["ZBLANK"][0] if "ZBLANK" in cell else h.integer("ZBLANK")
+                raw = dequantize(raw, float(cell["ZSCALE"][0]), float(cell["ZZERO"][0]), h.text("ZQUANTIZ") or "NO_DITHER", number + h.integer("ZDITHER0", 1), blank).astype(np.float32 if bitpix == -32 else np.float64)
             stride, flat = 1, np.zeros(1, dtype=np.int64)
             for o, d, a in zip(low, dims, axes, strict=True):
                 flat = (flat[None, :] + ((o + np.arange(d)) * stride)[:, None]).ravel()
@@ -484,9 +486,10 @@ def _arrow(cells, c: TableColumn, kind: pa.DataType, plain: bool) -> pa.Array:
     if letter in "CM":
         cells = [[{"re": float(x.real), "im": float(x.imag)} for x in np.atleast_1d(r)] for r in cells]
     elif isinstance(cells, np.ndarray) and not pa.types.is_list(kind):
-        return pa.array(cells[:, 0]).cast(kind)
+        one = cells[:, 0]
+        return pa.array([Decimal(v) for v in one.tolist()], kind) if one.dtype == object else pa.array(one).cast(kind)
     elif letter != "A":
-        cells = [list(r) for r in cells]
+        cells = [[Decimal(v) if type(v) is int and pa.types.is_decimal(kind.value_type) else v for v in r] if pa.types.is_list(kind) else list(r) for r in cells]
     if not pa.types.is_list(kind) and letter != "A":
         cells = [r[0] for r in cells]
     return pa.array(cells, kind)

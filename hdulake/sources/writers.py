@@ -305,7 +305,10 @@ class _FolderWriter(DataSourceArrowWriter):
 
 
 class TableSink(DataSource):
-    """``df.write.format("hdu_table_sink").save(folder)``. Options: checksum, extname, rows_per_file, and codec for compressed tables."""
+    """``df.write.format("hdu_table_sink").save(folder)``.
+
+    Options: checksum, extname, rows_per_file, ``ascii`` ("true") for ASCII tables, and codec for compressed ones.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -326,7 +329,12 @@ class _TableWriter(_FolderWriter):
             name = {"name": self.options["extname"]} if "extname" in self.options else {}
             with open(paths[-1], "wb") as f:
                 out = FileWriter(f, self.checksums)
-                out.compressed_table(self.schema, columns, self.options["codec"], **name) if "codec" in self.options else out.table(self.schema, columns, **name)
+                if "codec" in self.options:
+                    out.compressed_table(self.schema, columns, self.options["codec"], **name)
+                elif self.options.get("ascii") == "true":
+                    out.ascii_table(self.schema, columns, **name)
+                else:
+                    out.table(self.schema, columns, **name)
             waiting.clear()
 
         rows = 0
@@ -345,9 +353,10 @@ class _TableWriter(_FolderWriter):
 
 
 class ImageSink(DataSource):
-    """``hdu_image_sink``: each partition's rows (flat, raw) are the pixels of an image of the option ``axes``, "64,48" say.
+    """``hdu_image_sink``: rows (flat, raw) are the pixels of images of the option ``axes``, "64,48" say, a file for each.
 
-    Further options: scale, zero, blank, extname, checksum, and codec (with tile, "32,32" say) for a compressed image.
+    A partition is one image, or the images that a column ``image`` tells apart, one after the other; all pixels of an image lie in
+    one partition, together. Further options: scale, zero, blank, extname, checksum, and codec (with tile, "32,32" say).
     """
 
     @classmethod
@@ -362,25 +371,43 @@ class ImageSink(DataSource):
 
 class _ImageWriter(_FolderWriter):
     def write(self, batches: Iterator) -> Written:
-        axes = [int(x) for x in self.options["axes"].split(",")]
-        table = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pylist([], schema=pa.schema([("flat", pa.int64()), ("raw", pa.int16())]))])
-        if not table.num_rows:
-            return Written([])
-        flat, raw = table["flat"].to_numpy(), table["raw"].to_numpy()
-        pixels = np.zeros(int(np.prod(axes)), dtype=raw.dtype)
-        if len(flat) != len(pixels) or len(np.unique(flat)) != len(flat) or flat.min() < 0 or flat.max() >= len(pixels):
-            raise HduError("DataSizeMismatch", f"{len(flat)} pixels for {axes}")
-        pixels[flat] = raw
+        axes, paths = [int(x) for x in self.options["axes"].split(",")], []
+        n, waiting, now = int(np.prod(axes)), [], None
+
+        def flush() -> None:
+            flat, raw = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            if len(flat) != n or not np.array_equal(np.sort(flat), np.arange(n)):
+                raise HduError("DataSizeMismatch", f"{len(flat)} pixels for {axes}")
+            pixels = np.empty(n, dtype=raw.dtype)
+            pixels[flat] = raw
+            paths.append(self._path(len(paths)))
+            self._save(paths[-1], pixels.reshape(axes[::-1]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, raw = (batch.column(self.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("flat", "raw"))
+            image = batch.column(self.schema.names.index("image")).to_numpy(zero_copy_only=False) if "image" in self.schema.names else np.zeros(len(flat))
+            edges = [0, *(np.flatnonzero(image[1:] != image[:-1]) + 1).tolist(), len(flat)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if waiting and image[a] != now:
+                    flush()
+                now = image[a]
+                waiting.append((flat[a:b], raw[a:b]))
+        if waiting:
+            flush()
+        return Written(paths)
+
+    def _save(self, path: str, pixels: np.ndarray) -> None:
         o = self.options
         about = {"scale": float(o.get("scale", 1)), "zero": float(o.get("zero", 0)), "blank": int(o["blank"]) if "blank" in o else None, "name": o.get("extname")}
-        path = self._path(0)
         with open(path, "wb") as f:
-            out, pixels = FileWriter(f, self.checksums), pixels.reshape(axes[::-1])
+            out = FileWriter(f, self.checksums)
             if "codec" in o:
                 out.compressed_image(pixels, o["codec"], tile=[int(x) for x in o["tile"].split(",")] if "tile" in o else [], **about)
             else:
                 out.image(pixels, **about)
-        return Written([path])
 
 
 def register(spark: SparkSession) -> None:

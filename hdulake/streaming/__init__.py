@@ -1,0 +1 @@
+"""Streams over folders of files."""

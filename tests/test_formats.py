@@ -40,9 +40,9 @@ def test_header_round_trip():
 def test_layout():
     h = Header().set("SIMPLE", True).set("BITPIX", 16).set("NAXIS", 2).set("NAXIS1", 512).set("NAXIS2", 512)
     assert data_bytes(h) == 524288 and kind_of(h, True) == "Primary"
-    assert parse_form("3E") == (3, "E", "") and parse_form("1PE(5)") == (1, "P", "E")
-    assert parse_display("F8.3") == ("F", 8, 3, None) and parse_display("junk") is None
-    for bad in ("9Z", "", "2PE(5)"):
+    assert parse_form("12J") == (12, "J", "") and parse_form("QD(77)") == (1, "Q", "D")
+    assert parse_display("ES14.6E3") == ("ES", 14, 6, 3) and parse_display("7F") is None
+    for bad in ("W", "4", "-1J", "3QB(2)", "PQ(1)", "P"):
         with pytest.raises(HduError):
             parse_form(bad)
     t = Header().set("TFIELDS", 2).set("TFORM1", "1J").set("TFORM2", "8A").set("NAXIS1", 12)
