@@ -10,12 +10,11 @@ Since a filter is a sum over its bytes, embedding and filter fold into one table
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; a text shorter than the
 window is padded with zero bytes (as in training); very long texts are read whole; repeated rows get
-equal results; with no labelled text nothing can be learned and every row is ``und``.
+equal results, and a null doc_id is never held out; with no labelled text nothing can be learned and every row is ``und``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 
 from hdulake.llm._common import read, remainder, slices
 
-#: Bounds of the training sample: texts of one language, windows of one text, languages.
-MAX_TEXTS, MAX_WINDOWS, MAX_LANGUAGES = 1200, 6, 200
+#: Bounds of the training sample: texts of one language, texts of all languages together (shared evenly where there
+#: are many languages), and windows of one text.
+MAX_TEXTS, MAX_SAMPLE, MAX_WINDOWS = 1200, 240_000, 6
 WINDOW = 96
 WIDTHS = (2, 3, 4)
 FILTERS = 10
@@ -36,7 +36,10 @@ EPOCHS = 4
 LEAST_STEPS = 400
 BATCH = 128
 
-LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of one of Unicode's letter categories (numerals such as a half or a roman twelve are not)."""
+    return any(map(str.isalpha, text))
 
 
 def windows_of(raw: bytes) -> np.ndarray:
@@ -152,21 +155,29 @@ def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> tuple[list[str], ByteC
     """The languages and the network, from rows outside the held-out fifth (crc32 of the doc_id mod 5 is 0)."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     labelled = texts.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
-    ranked = labelled.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id", F.xxhash64("text"))))
+    # the least hashes of each language; a threshold lets about twice as many texts through, so no others are shuffled
+    place = F.pmod(F.xxhash64(F.lit(8), "doc_id", F.xxhash64("text")), F.lit(1 << 40))
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE).collect()  # one row a language
+    if not counts:
+        return [], None
+    each = max(1, min(max_texts, MAX_SAMPLE // len(counts)))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (2 * each + 50) / r["count"]) * (1 << 40))) for r in counts], "known string, most long")
+    close = labelled.withColumn("hash", place).join(F.broadcast(limits), (F.col("lang") == F.col("known")) & (F.col("hash") < F.col("most")))  # at most MAX_SAMPLE short rows
+    ranked = close.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             langs, rows = [], []
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if LETTER.search(text):
+                if has_letter(text):
                     w = windows_of(text.encode("utf-8", "replace"))
                     for i in np.unique(np.linspace(0, len(w) - 1, MAX_WINDOWS).astype(int)):
                         langs.append(lang)
                         rows.append(w[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "bytes"])
 
-    sample = ranked.filter(F.col("place") <= max_texts).select("lang", "text").mapInArrow(cut, "lang string, bytes binary")
-    rows = sorted(map(tuple, sample.limit(max_texts * MAX_WINDOWS * MAX_LANGUAGES).collect()))
+    sample = ranked.filter(F.col("place") <= each).select("lang", "text").mapInArrow(cut, "lang string, bytes binary")
+    rows = sorted(map(tuple, sample.collect()))
     langs = sorted({r[0] for r in rows})
     if not langs:
         return [], None
@@ -185,7 +196,7 @@ def identify(docs: DataFrame, langs: list[str], net: ByteCNN | None) -> DataFram
         for batch in slices(batches, 128):
             texts = batch["text"].to_pylist()
             pred, prob = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if score else []
+            known = [i for i, t in enumerate(texts) if t and has_letter(t)] if score else []
             if known:
                 raws = [texts[i].encode("utf-8", "replace") for i in known]
                 cut = [windows_of(r) for r in raws]
