@@ -8,10 +8,11 @@ Radius: ``CALIBRATION`` sampled queries are compared with every row, exactly; th
 holds the share ``WANTED`` of their true neighbours.
 
 Search: a code is split into 16-bit substrings. By the pigeonhole principle a code within the radius r
-of a query's has a substring within floor(r / m) of the query's. Each block of the base has a posting
+of a query's has a substring within floor(r / m) of the query's. Each block of the base is indexed: it has a posting
 list for each value of each substring; the queries probe the lists of all values within that distance,
 the codes found are compared in full, and those within the radius are reranked by their inner products
-in double precision. Queries (the rows whose id is divisible by 20) meet the base in blocks.
+in double precision. Queries (the rows whose id is divisible by 20) meet the base in blocks of ``QUERY_BLOCK``,
+of which ``PROBED`` at a time probe the index.
 
 Norms: the rotation sees directions, and ranks are by inner product. A query whose ``K`` best in a block
 could be beaten by a longer vector that isn't within the radius is the usual loss of hashing; the
@@ -20,13 +21,14 @@ calibration is done with true inner products, so the radius grows to what the da
 Queries that find fewer than K within the radius over all blocks are searched again among all rows, exactly.
 
 Edge cases: vectors that are null, zero, of another length than most, or with null or non-finite components take no part;
-fewer candidates than K give fewer rows; ties go to the smaller vec_id; repeated ids are rows of their
-own; an empty table gives an empty result; further columns are left behind.
+fewer candidates than K give fewer rows; ties go to the smaller vec_id; rows that repeat a vec_id are rows of their
+own, each a candidate for the others, and as queries each with a ranking of its own; an empty table gives an empty result; further columns are left behind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,9 @@ TABLES = 4
 #: Bounds of the two samples: vectors that the rotations are learned on, and queries that set the radius.
 SAMPLE, CALIBRATION = 8192, 64
 WANTED = 0.985
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_BLOCK = 4096, 16384
+#: Queries that probe a block's index at a time.
+PROBED = 1024
 
 
 def learn_rotations(x: np.ndarray, tables: int = TABLES, rounds: int = 30, seed: int = 3) -> list[np.ndarray]:
@@ -107,33 +111,58 @@ def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarr
     return order[rank < k]
 
 
-def search_block(q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, base: np.ndarray, rotations: list[np.ndarray], radius: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score of each query's k best of the block."""
-    q, b = MultiIndex(encode(unit(base), rotations)).probe(encode(unit(queries), rotations), radius)
-    own = q_ids[q] == b_ids[b]
-    q, b = q[~own], b[~own]
-    return best_of(q, b, q_ids, queries, b_ids, base, k)
+@dataclass
+class Block:
+    """Vectors with their ids and the numbers of their rows."""
 
+    rids: np.ndarray
+    ids: np.ndarray
+    x: np.ndarray
 
-def best_of(q: np.ndarray, b: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score of each query's k best of the candidates, which are places of queries and base."""
+    @classmethod
+    def of(cls, rids: bytes, ids: bytes, x: bytes) -> Block:
+        i = np.frombuffer(ids, dtype="<i8")
+        return cls(np.frombuffer(rids, dtype="<i8"), i, np.frombuffer(x, dtype=np.float64).reshape(len(i), -1))
+
+    def parts(self, size: int = PROBED) -> Iterator[Block]:
+        for at in range(0, len(self.ids), size):
+            yield Block(*(v[at : at + size] for v in (self.rids, self.ids, self.x)))
+
+
+def search_block(queries: Block, base: Block, rotations: list[np.ndarray], radius: int, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of a query and a vector of the base, and their score: each query's k best of the block within the radius."""
+    index, done = MultiIndex(encode(unit(base.x), rotations)), 0
+    for part in queries.parts():
+        q, b = index.probe(encode(unit(part.x), rotations), radius)
+        other = part.rids[q] != base.rids[b]
+        q, b, s = best_of(q[other], b[other], part, base, k)
+        yield q + done, b, s
+        done += len(part.ids)
+
+
+def best_of(q: np.ndarray, b: np.ndarray, queries: Block, base: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the candidates (places of queries and base) each query's k best, and their scores."""
     scores = np.empty(len(q))
     for at in range(0, len(q), 1 << 17):
         part = slice(at, at + (1 << 17))
-        scores[part] = np.einsum("ij,ij->i", queries[q[part]], base[b[part]])
-    top = best(q, b_ids[b], scores, k)
-    return q_ids[q[top]], b_ids[b[top]], scores[top]
-
-
-def search_whole(q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, base: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score of each query's k best of the block, from all of its rows."""
-    other = q_ids[:, None] != b_ids[None, :]
-    rough = np.where(other, queries @ base.T, -np.inf)
-    if len(base) > k:
-        # a product's rounding depends on its order of sums: what is that near the k-th best is scored again
-        slack = 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(base, axis=1).max()
-        other &= rough >= (np.partition(rough, -k, axis=1)[:, -k] - slack)[:, None]
-    return best_of(*np.nonzero(other), q_ids, queries, b_ids, base, k)
+        scores[part] = np.einsum("ij,ij->i", queries.x[q[part]], base.x[b[part]])
+    top = best(q, base.ids[b], scores, k)
+    return q[top], b[top], scores[top]
+
+
+def search_whole(queries: Block, base: Block, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same from all rows of the block."""
+    done = 0
+    for part in queries.parts():
+        other = part.rids[:, None] != base.rids[None, :]
+        rough = np.where(other, part.x @ base.x.T, -np.inf)
+        if len(base.ids) > k:
+            # a product's rounding depends on its order of sums: what is that near the k-th best is scored again
+            slack = 1e-9 * np.linalg.norm(part.x, axis=1) * np.linalg.norm(base.x, axis=1).max()
+            other &= rough >= (np.partition(rough, -k, axis=1)[:, -k] - slack)[:, None]
+        q, b, s = best_of(*np.nonzero(other), part, base, k)
+        yield q + done, b, s
+        done += len(part.ids)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -146,53 +175,48 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, size: int, n: int, name: str) -> DataFrame:
-    """The rows in about n // size blocks: ids and vectors of each as byte strings, ordered by id."""
+    """The rows in about n // size blocks: row numbers, ids and vectors of each as byte strings, ordered by id."""
 
     def run(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-        ids = batch["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
+        ids, rids = batch["vec_id"].to_numpy(), batch["rid"].to_numpy()
+        order = np.lexsort((rids, ids))
         flat = batch["vector"].combine_chunks()
         x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), -1)
-        return pa.table({name: pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "x": pa.array([x[order].tobytes()], pa.binary())})
-
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64(F.lit(33), "vec_id"), F.lit(max(1, -(-n // size)))).cast("int"))
-    return dealt.groupBy(name).applyInArrow(run, f"{name} int, ids binary, x binary")
-
+        return pa.table({name: pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v[order].tobytes()], pa.binary()) for c, v in (("rids", rids.astype("<i8")), ("ids", ids.astype("<i8")), ("x", x))}})
 
-def _arrays(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, dtype="<i8")
-    return i, np.frombuffer(x, dtype=np.float64).reshape(len(i), -1)
+    # the row's number takes part, so rows that repeat an id scatter as well
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64(F.lit(33), "vec_id", "rid"), F.lit(max(1, -(-n // size)))).cast("int"))
+    return dealt.groupBy(name).applyInArrow(run, f"{name} int, rids binary, ids binary, x binary")
 
 
 def search(vectors: DataFrame, k: int = K, divisor: int = QUERY_DIVISOR, wanted: float = WANTED) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query."""
     spark = vectors.sparkSession
-    rows = checkpointed(usable(vectors))
+    rows = checkpointed(usable(vectors)).withColumn("rid", F.monotonically_increasing_id())  # stable: the rows lie in files now
     queries = rows.filter(F.col("vec_id") % divisor == 0)
-    out = "query_id long, vec_id long, score double"
+    out = "query_rid long, query_id long, vec_id long, rid long, score double"
     n, n_queries = rows.count(), queries.count()
-    order = (F.xxhash64(F.lit(3), "vec_id"), F.col("vec_id"))
+    order = (F.xxhash64(F.lit(3), "vec_id"), F.col("vec_id"), F.col("rid"))
     sample = np.array([r[0] for r in rows.orderBy(*order).limit(SAMPLE).select("vector").collect()])
     if not n_queries or n < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rotations = learn_rotations(unit(sample))
     asked = queries.orderBy(*order).limit(CALIBRATION).collect()
-    a_ids, a = np.array([r["vec_id"] for r in asked]), np.array([r["vector"] for r in asked])
+    a = Block(*(np.array([r[c] for r in asked]) for c in ("rid", "vec_id", "vector")))
     base = checkpointed(blocks(rows, BLOCK, n, "base_block"))
-    every = len(encode(unit(a), rotations)[0]) * 16  # a radius that holds all codes
+    codes = encode(unit(a.x), rotations)
+    every = codes.shape[1] * 16  # a radius that holds all codes
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, x in zip(batch["ids"].to_pylist(), batch["x"].to_pylist(), strict=True):
-                i, v = _arrays(ids, x)
-                q, b, s = search_block(a_ids, a, i, v, rotations, every, k)
-                where = {int(y): p for p, y in enumerate(a_ids)}
-                place = np.searchsorted(i, b)
-                far = distances(encode(unit(a), rotations)[[where[int(y)] for y in q]], encode(unit(v), rotations)[place])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(s), pa.array(far, pa.int32())], names=["query_id", "score", "far"])
-
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    nearest = base.mapInArrow(calibrate, "query_id long, score double, far int").withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+            for cells in zip(*(batch[c].to_pylist() for c in ("rids", "ids", "x")), strict=True):
+                block = Block.of(*cells)
+                own = encode(unit(block.x), rotations)
+                for q, b, s in search_block(a, block, rotations, every, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.rids[q]), pa.array(s), pa.array(distances(codes[q], own[b]), pa.int32())], names=["query_rid", "score", "far"])
+
+    best_first = Window.partitionBy("query_rid").orderBy(F.desc("score"))
+    nearest = base.mapInArrow(calibrate, "query_rid long, score double, far int").withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
     far = sorted(r[0] for r in nearest.select("far").collect())  # CALIBRATION * k numbers
     radius = far[min(len(far) - 1, int(wanted * len(far)))]
 
@@ -201,26 +225,26 @@ def search(vectors: DataFrame, k: int = K, divisor: int = QUERY_DIVISOR, wanted:
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for qi, qx, bi, bx in zip(*(batch[c].to_pylist() for c in ("q_ids", "q_x", "ids", "x")), strict=True):
-                    sides = *_arrays(qi, qx), *_arrays(bi, bx)
-                    q, b, s = search_whole(*sides, k) if within is None else search_block(*sides, rotations, within, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
+                for *left, r, i, x in zip(*(batch[c].to_pylist() for c in ("q_rids", "q_ids", "q_x", "rids", "ids", "x")), strict=True):
+                    asked, block = Block.of(*left), Block.of(r, i, x)
+                    for q, b, s in search_whole(asked, block, k) if within is None else search_block(asked, block, rotations, within, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (asked.rids[q], asked.ids[q], block.ids[b], block.rids[b], s)], names=["query_rid", "query_id", "vec_id", "rid", "score"])
 
         n_blocks = max(1, -(-n_asking // QUERY_BLOCK))
-        dealt = blocks(asking, QUERY_BLOCK, n_asking, "query_block").select("query_block", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+        dealt = blocks(asking, QUERY_BLOCK, n_asking, "query_block").select("query_block", *(F.col(c).alias(f"q_{c}") for c in ("rids", "ids", "x")))
         # the stated query set against all rows, in blocks: each base block goes to every block of queries
         meeting = base.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(dealt, F.col("met") == F.col("query_block"))
-        found = meeting.select("q_ids", "q_x", "ids", "x").repartition(max(8, min(n_blocks * max(1, n // BLOCK), 4096))).mapInArrow(find, out)
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-        return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found = meeting.select("q_rids", "q_ids", "q_x", "rids", "ids", "x").repartition(max(8, min(n_blocks * max(1, n // BLOCK), 4096))).mapInArrow(find, out)
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id", "rid")))
+        return ranked.filter(F.col("rank") <= k).select("query_rid", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
     near = checkpointed(meet(queries, n_queries, radius))
-    full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("full"))
-    short = checkpointed(queries.join(full, F.col("vec_id") == F.col("full"), "left_anti"))
+    full = near.filter(F.col("rank") == k).select(F.col("query_rid").alias("full"))
+    short = checkpointed(queries.join(full, F.col("rid") == F.col("full"), "left_anti"))
     n_short = short.count()
-    if not n_short:
-        return near
-    return near.join(full, F.col("query_id") == F.col("full"), "left_semi").unionByName(meet(short, n_short, None))
+    if n_short:
+        near = near.join(full, F.col("query_rid") == F.col("full"), "left_semi").unionByName(meet(short, n_short, None))
+    return near.select("query_id", "rank", "vec_id", "score")
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
