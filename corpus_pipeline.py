@@ -73,7 +73,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mix),
     ("packing", pack_documents),
 ]
-#: SQL can't express the stages; no test holds the whole pipeline against a brute-force version yet.
+#: SQL cannot express the stages; tests/llm hold each one, on the rows that the one before it kept, against brute force.
 ORACLE_SQL = None
 
 
