@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import threading
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 ROWS_AT_A_TIME = 512
 #: Bytes of such a batch, unless one row has more.
 BYTES_AT_A_TIME = 4 << 20
+_adaptive = threading.RLock()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +30,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed_by(df: DataFrame, partitions: int, key: str) -> DataFrame:
     """``df`` dealt by ``key`` and checkpointed so that later joins on ``key`` needn't shuffle it again.
 
-    Only a plan that isn't adaptive tells how its output is dealt, so adaptive execution is off for this write.
+    Only a plan that isn't adaptive tells how its output is dealt, so adaptive execution is off for this write, which
+    one thread does at a time.
     """
     conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return checkpointed(df.repartition(partitions, key))
-    finally:
-        conf.set(name, before)
+    with _adaptive:
+        before = conf.get(name)
+        conf.set(name, "false")
+        try:
+            return checkpointed(df.repartition(partitions, key))
+        finally:
+            conf.set(name, before)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

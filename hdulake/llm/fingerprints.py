@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hdulake.llm._common import checkpointed, mix, read, shuffle_partitions, slices
@@ -181,6 +181,15 @@ def near_pairs(docs: DataFrame, least: float = LEAST_LIKENESS, seed: int = 7) ->
     return pairs, members.join(numbers.select("text_key", "class_id"), "text_key").select("doc_id", "class_id")
 
 
+def _below(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted bounds are less than the key, by bisection: an expression as long as the logarithm of their number."""
+    if not bounds:
+        return F.lit(0)
+    known = F.array(*map(F.lit, bounds)).cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(known, n + step - 1) < key, n + step).otherwise(n))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """The rows dealt into ranges of falling doc_id, each range followed by the first row of the next one (``borrowed``).
 
@@ -192,12 +201,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), key.alias("key"))
     ids = rows.select("key")
     bounds = sorted(set(map(int, ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()[0] or []))) if n > 1 else []
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: F.col("key") <= b)) if bounds else F.lit(0)
-    ranged = rows.withColumn("part", above.cast("int"))
-    heads = sorted(map(tuple, ids.withColumn("part", above.cast("int")).groupBy("part").agg(F.max("key")).collect()))
-    lend = [F.when(F.col("key") == head, F.lit(heads[i - 1][0])) for i, (_, head) in enumerate(heads)]
+    part = F.lit(len(bounds)) - _below(bounds, F.col("key"))
+    ranged = rows.withColumn("part", part.cast("int"))
+    heads = sorted(map(tuple, ids.withColumn("part", part.cast("int")).groupBy("part").agg(F.max("key")).collect()))
+    # by part: its first key, and the part before it that has rows
+    first, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for i, (k, head) in enumerate(heads):
+        first[k], before[k] = head, heads[i - 1][0]
+    at = lambda values, kind: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("part"))
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("borrowed"))
-    lent = F.struct(F.coalesce(*lend).alias("part"), F.lit(True).alias("borrowed")) if lend else own
+    lent = F.struct(F.when(F.col("key") == at(first, "long"), at(before, "int")).alias("part"), F.lit(True).alias("borrowed"))
     dealt = ranged.select("doc_id", "text", "key", F.explode(F.filter(F.array(own, lent), lambda x: x["part"].isNotNull())).alias("to")).select("doc_id", "text", "key", "to.part", "to.borrowed")
     return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "borrowed", F.col("key").desc(), F.xxhash64("text"))
 
