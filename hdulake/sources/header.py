@@ -1,6 +1,6 @@
 """Header cards: parsing, typed look-up, building and rendering.
 
-A value is a Python bool, int, float, str or complex, or ``UNDEFINED`` for a value card without one;
+A value is a Python bool, int, float, str or complex (``ComplexInteger`` of whole parts), or ``UNDEFINED`` for a value card without one;
 a card of commentary has ``None``.
 """
 
@@ -23,6 +23,12 @@ class _Undefined:
 
 
 UNDEFINED = _Undefined()
+
+
+class ComplexInteger(complex):
+    """A complex value whose parts were whole numbers."""
+
+
 _KEY = re.compile(r"[A-Z0-9_-]{1,8}\Z")
 _INT = re.compile(r"[+-]?\d+\Z")
 _REAL = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([EeDd][+-]?\d+)?\Z")
@@ -71,7 +77,9 @@ def parse_value(text: str):
         parts = text.strip("()").split(",")
         if len(parts) != 2 or text[-1] != ")":
             raise HduError("InvalidValue", text)
-        return complex(*(float(_scalar(p.strip())) for p in parts))
+        found = [_scalar(p.strip()) for p in parts]
+        whole = all(isinstance(v, int) for v in found)
+        return (ComplexInteger if whole else complex)(*map(float, found))
     return _scalar(text)
 
 
@@ -182,6 +190,8 @@ def format_value(value) -> str:
         return "T" if value else "F"
     if isinstance(value, int):
         return str(value)
+    if isinstance(value, ComplexInteger):
+        return f"({int(value.real)}, {int(value.imag)})"
     if isinstance(value, complex):
         return f"({format_value(value.real)}, {format_value(value.imag)})"
     if isinstance(value, float):

@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from hdulake.errors import HduError
 from hdulake.functions.checksum import ones_sum
 from hdulake.functions.codecs import decode_tile, dequantize
+from hdulake.sources.header import ComplexInteger
 from hdulake.sources.layout import BITPIX, ELEMENTS, Hdu, TableColumn, ascii_columns, bin_columns, padded, scan
 from hdulake.sources.tiles import expand_rows, plain_header
 
@@ -61,9 +62,11 @@ def files_of(path: str) -> list[str]:
 
 
 def open_file(path: str):
-    """The file, open for reading and seeking."""
+    """The file, open for reading and seeking; a local one is mapped into memory."""
     there = _remote(path)
-    return open(path, "rb") if there is None else there[0].open_input_file(there[1])
+    if there is not None:
+        return there[0].open_input_file(there[1])
+    return pa.memory_map(path) if os.path.getsize(path) else open(path, "rb")
 
 
 def hdus_of(path: str) -> list[Hdu]:
@@ -183,9 +186,9 @@ class CardsSource(CatalogSource):
         for h in hdus_of(path):
             for k, c in enumerate(h.header.cards):
                 v = c.value
-                kind = {bool: "logical", int: "integer", float: "real", str: "text", complex: "complex", type(None): "commentary"}.get(type(v), "undefined")
+                kind = {bool: "logical", int: "integer", float: "real", str: "text", complex: "complex", ComplexInteger: "complex_integer", type(None): "commentary"}.get(type(v), "undefined")
                 part = lambda t, v=v: v if type(v) is t else None
-                yield path, h.index, k, c.keyword, kind, part(bool), part(int), part(float), part(str), v.real if kind == "complex" else None, v.imag if kind == "complex" else None, c.comment
+                yield path, h.index, k, c.keyword, kind, part(bool), part(int), part(float), part(str), v.real if isinstance(v, complex) else None, v.imag if isinstance(v, complex) else None, c.comment
 
 
 class _PerFile(DataSourceReader):

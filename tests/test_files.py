@@ -11,7 +11,7 @@ from hdulake.errors import HduError
 from hdulake.functions import codecs, hcompress, scaling, time, wcs
 from hdulake.operators.intervals import gti_intervals, within_intervals
 from hdulake.sources import readers, tiles, writers
-from hdulake.sources.header import Header, parse_card
+from hdulake.sources.header import ComplexInteger, Header, parse_card, render_card
 from hdulake.sources.layout import kind_of
 
 
@@ -233,6 +233,13 @@ def test_cards_without_a_blank():
     assert parse_card(b"A       =5".ljust(80)).value == 5
 
 
+def test_complex_cards():
+    for text, kind in (("(7, -3)", ComplexInteger), ("(7, -3.5)", complex)):
+        card = parse_card(f"Z       = {text}".ljust(80).encode())
+        assert type(card.value) is kind and parse_card(render_card(card)[0]).value == card.value
+        assert type(parse_card(render_card(card)[0]).value) is kind
+
+
 def test_dates(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(time.iso_to_mjd(F.lit("1987-04-10T18:30"))) == one(time.iso_to_mjd(F.lit("1987-04-10T18:30:00"))) == pytest.approx(46895.0 + 18.5 / 24, abs=1e-9)
