@@ -302,10 +302,11 @@ def find_repeats(stored: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     """The repeats in the stored texts (rid, packed, anchors): wr and whole (numbers of anchors), sr and runs (first, last) by document."""
     listed = stored.select("rid", "anchors").mapInArrow(_list_anchors, "rank long, cover long, rid long, number int")
     # round 1: anchors whose rank isn't unique
-    counts = stored.select("anchors").mapInArrow(_list_ranks, "r long").groupBy("r").agg(F.count("*").alias("n")).filter("n > 1").select("r")
+    # counts and classes are written before they are joined: the join's sides are then plain shuffles, which split at hot ranks
+    counts = checkpointed(stored.select("anchors").mapInArrow(_list_ranks, "r long").groupBy("r").agg(F.count("*").alias("n")).filter("n > 1").select("r"))
     live = checkpointed(listed.join(counts, F.col("rank") == F.col("r")).select("rank", "cover", "rid", "number"))
     # round 2: pairs; the members of repeated ones are done, and one of each pair goes on where a lone one is left
-    classes = live.groupBy("rank", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "number")).alias("one"))
+    classes = checkpointed(live.groupBy("rank", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "number")).alias("one")))
     whole = live.join(classes.filter("members > 1").select(F.col("rank").alias("r"), F.col("cover").alias("c")), (F.col("rank") == F.col("r")) & (F.col("cover") == F.col("c"))).select("rid", "number")
     lone = classes.filter("members = 1").select(F.col("rank").alias("r")).distinct()
     item = F.struct(F.col("one.number").alias("number"), (F.col("members") == 1).alias("alone"))
@@ -313,9 +314,9 @@ def find_repeats(stored: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     # round 3: blocks of starts
     blocks = stored.join(asked, F.col("rid") == F.col("o")).select("rid", "packed", "anchors", F.col("items.number").alias("numbers"), F.col("items.alone").alias("alone"))
     blocks = checkpointed(blocks.mapInArrow(_list_blocks(unit), "core long, cover long, rid long, first int, last int, alone boolean"))
-    counts = blocks.groupBy(F.col("core").alias("r")).agg(F.count("*").alias("n")).filter("n > 1").select("r")
+    counts = checkpointed(blocks.groupBy(F.col("core").alias("r")).agg(F.count("*").alias("n")).filter("n > 1").select("r"))
     live = checkpointed(blocks.join(counts, F.col("core") == F.col("r")).drop("r"))
-    classes = live.groupBy("core", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "first", "last", "alone")).alias("one"))
+    classes = checkpointed(live.groupBy("core", "cover").agg(F.count("*").alias("members"), F.min(F.struct("rid", "first", "last", "alone")).alias("one")))
     parts_whole = live.filter("alone").join(classes.filter("members > 1").select(F.col("core").alias("r"), F.col("cover").alias("c")), (F.col("core") == F.col("r")) & (F.col("cover") == F.col("c"))).select("rid", "first", "last")
     lone = classes.filter("members = 1 and one.alone").select(F.col("core").alias("r")).distinct()
     item = F.struct("one.first", "one.last", ((F.col("members") == 1) & F.col("one.alone")).alias("alone"))
