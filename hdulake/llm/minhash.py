@@ -226,7 +226,8 @@ def near_duplicates_of(kept: DataFrame) -> DataFrame:
     wanted = in_buckets.select(F.col("sid").alias("w")).distinct()
     rows = classes.join(wanted, F.col("sid") == F.col("w")).select("sid", "c1", "c2", F.col("best.rid").alias("best_rid"))
     sets = checkpointed(shingle_sets(kept.join(rows, F.col("rid") == F.col("best_rid"))))
-    signatures = classes.join(wanted, F.col("sid") == F.col("w")).select("sid", "n", "sig")
+    # written before it is joined, so that the joins' sides are plain shuffles, which split at hot pivots
+    signatures = checkpointed(classes.join(wanted, F.col("sid") == F.col("w")).select("sid", "n", "sig"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         u, v = (signatures.select(F.col("sid").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "uv")
