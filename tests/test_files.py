@@ -88,7 +88,7 @@ def test_overwrite_and_rows_per_file(sources, tmp_path):
 
 
 def test_truncated_units_are_listed(sources, tmp_path):
-    path = write(tmp_path / "x.fits", ("image", (np.zeros((100, 100), dtype=">i2".replace(">", "")),), {}))
+    path = write(tmp_path / "x.fits", ("image", (np.zeros((100, 100), dtype="i2"),), {}))
     with open(path, "r+b") as f:
         f.truncate(2880 * 3)
     assert load(sources, "hdu_catalog", path).count() == 1
