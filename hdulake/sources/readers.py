@@ -99,7 +99,7 @@ class _Source(DataSource):
         return files_of(self.options["path"])
 
     def pick(self, path: str) -> Hdu:
-        """The HDU that the options name, or the first of a fitting kind."""
+        """The HDU that the options name, or the first of a fitting kind that has data, or else the first table without rows."""
         hdus = hdus_of(path)
         if "hdu" in self.options:
             k = int(self.options["hdu"])
@@ -113,7 +113,8 @@ class _Source(DataSource):
                 raise HduError("HduIndexOutOfBounds", name)
             found = fits[0]
         else:
-            fits = [h for h in hdus if h.kind in self.kinds and h.data_bytes]
+            fits = [h for h in hdus if h.kind in self.kinds and (h.data_bytes or h.kind.endswith("Table"))]
+            fits.sort(key=lambda h: not h.data_bytes)
             if not fits:
                 raise HduError(f"No{self.kinds[0]}", path)
             found = fits[0]
@@ -142,8 +143,9 @@ class _Pieces(DataSourceReader):
         n, step = self.cut(h)
         return [Piece(path, h, at, min(n, at + step)) for at in range(0, n, max(1, step))]
 
-    def read(self, p: Piece) -> Iterator:
-        for piece in [p] if p.hdu else self.pieces(p.path):
+    def read(self, p: Piece | None) -> Iterator:
+        """The rows of a piece; without any piece (no file has rows) Spark asks for those of None."""
+        for piece in [] if p is None else [p] if p.hdu else self.pieces(p.path):
             yield from self.batches(piece)
 
 

@@ -2,7 +2,10 @@
 
 import math
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +13,7 @@ from pyspark.sql import types as T
 from hdulake.errors import HduError
 from hdulake.functions import codecs, hcompress, scaling, time, wcs
 from hdulake.operators.intervals import gti_intervals, within_intervals
+from hdulake.plans import queries
 from hdulake.sources import readers, tiles, writers
 from hdulake.sources.header import ComplexInteger, Header, parse_card, render_card
 from hdulake.sources.layout import kind_of
@@ -309,3 +313,30 @@ def test_stream(sources, tmp_path):
     stream = stream_catalog(sources, str(folder)).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     stream.awaitTermination(60)
     assert [(r["hdu"], r["bitpix"], r["axes"]) for r in sources.table("arrived").collect()] == [(0, 16, [2, 2])]
+
+
+@pytest.fixture(params=[0, 40], ids=["no_rows", "one_part_with_rows"])
+def sparse_orders(sources, request, tmp_path):
+    """A folder of orders that Spark cuts into partitions of which one at most has rows."""
+    n = request.param
+    columns = {"o_orderkey": pa.array(range(n), pa.int64()), "o_custkey": pa.array([i * 7 % 60 for i in range(n)], pa.int64()), "o_totalprice": pa.array([i + 0.5 for i in range(n)], pa.float64())}
+    columns |= {c: pa.array([f"{i % 3}-x" for i in range(n)], pa.string()) for c in ("o_orderstatus", "o_orderpriority")}
+    pq.write_table(pa.table(columns), tmp_path / "orders.parquet")
+    asked = {"spark.sql.files.maxPartitionBytes": "300b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {k: sources.conf.get(k) for k in asked}
+    for k, v in asked.items():
+        sources.conf.set(k, v)
+    assert sources.read.parquet(str(tmp_path / "orders.parquet")).rdd.getNumPartitions() > 3
+    yield str(tmp_path)
+    for k, v in before.items():
+        sources.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["ascii_tables"])
+def test_partitions_without_rows(name, sources, sparse_orders):
+    got = queries.QUERIES[name](sources, sparse_orders)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW orders AS SELECT * FROM '{sparse_orders}/orders.parquet'")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    key = lambda row: [(x is not None, x) for x in row]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
