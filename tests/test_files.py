@@ -332,7 +332,7 @@ def sparse_orders(sources, request, tmp_path):
         sources.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["ascii_tables", "table_round_trip", "scaled_columns", "header_cards", "checked_files", "array_columns", "compressed_table_gzip_1", "compressed_table_gzip_2"])
+@pytest.mark.parametrize("name", ["ascii_tables", "table_round_trip", "scaled_columns", "header_cards", "checked_files", "array_columns", "compressed_table_gzip_1", "compressed_table_gzip_2", "compressed_table_rice_1"])
 def test_partitions_without_rows(name, sources, sparse_orders):
     got = queries.QUERIES[name](sources, sparse_orders)
     with duckdb.connect() as db:
